@@ -8,7 +8,7 @@ and ascending sort; the 720-step statistics add one descending sort.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -52,18 +52,13 @@ class FeatureSpec:
 
     def limited(self, longest: int) -> FeatureSpec:
         """The same spec without lags and frames longer than ``longest`` steps."""
-        return FeatureSpec(
-            self.freq,
-            self.suffix,
-            tuple(k for k in self.lags if k <= longest),
-            self.annual_lag,
-            self.annual_min_rows,
-            tuple((w, s) for w, s in self.rolling if w <= longest),
-            self.ratio_window,
-            tuple((n, k) for n, k in self.temp_lags if k <= longest),
-            tuple((n, w) for n, w in self.temp_means if w <= longest),
-            self.humidity_window,
-            self.with_annual and self.annual_lag <= longest,
+        return replace(
+            self,
+            lags=tuple(k for k in self.lags if k <= longest),
+            rolling=tuple((w, s) for w, s in self.rolling if w <= longest),
+            temp_lags=tuple((n, k) for n, k in self.temp_lags if k <= longest),
+            temp_means=tuple((n, w) for n, w in self.temp_means if w <= longest),
+            with_annual=self.with_annual and self.annual_lag <= longest,
         )
 
 
@@ -330,11 +325,25 @@ def feature_matrix(
     stages += _weather_stages(df.columns, spec, by)
     base = windowed(df, spec.reach() + 1, *stages, freq=freq, **grid)
     base = _only_long_series(base, spec, **grid)
+    if drop_na:
+        # Calendar columns are never null, and derived weather only where its inputs are.
+        base = complete_rows(base)
     out = add_calendar_features(base, holidays, freq=freq, country=country, time=time)
     out = add_derived_weather(out)
     first = [*by, time, *[c for c in df.columns if c not in by and c != time]]
     out = out.select(*first, *[c for c in feature_columns(spec, df.columns) if c not in first])
-    return out.dropna() if drop_na else out
+    return out
+
+
+def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows without a null in ``columns``.
+
+    One plain condition per column: ``dropna`` states a single condition over all of
+    them, which the optimizer rewrites once per subset of computed columns.
+    """
+    for c in columns or df.columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
 
 
 def feature_columns(spec: FeatureSpec, inputs: Sequence[str] = (DEMAND, TEMP, HUMIDITY)) -> list[str]:
@@ -357,6 +366,11 @@ def feature_columns(spec: FeatureSpec, inputs: Sequence[str] = (DEMAND, TEMP, HU
     return names
 
 
+def any_length(spec: FeatureSpec) -> FeatureSpec:
+    """The spec for a piece of a series, whose length says nothing about the whole."""
+    return replace(spec, annual_min_rows=0)
+
+
 def null_share(df: DataFrame, column: str) -> DataFrame:
     """One row: number of rows and share of nulls in ``column``."""
     return df.agg(
@@ -412,6 +426,6 @@ def features_at(
     )
     recent = df.filter(F.col(time).between(at - width, at))
     rows = feature_matrix(
-        recent, holidays, freq=freq, spec=spec, drop_na=False, by=by, time=time, **kwargs
+        recent, holidays, freq=freq, spec=any_length(spec), drop_na=False, by=by, time=time, **kwargs
     )
     return rows.filter(F.col(time) == at)
