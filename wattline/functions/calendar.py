@@ -14,6 +14,20 @@ PEAK_HOURS = ((9, 11), (18, 22))
 VALLEY_HOURS = (1, 5)
 YEAR_DAYS = 365.25
 
+# Feature names, in matrix order.
+CLOCK_NAMES = ("hour", "is_peak_hour", "is_night_valley")
+DATE_NAMES = (
+    "day_of_week",
+    "day_of_month",
+    "day_of_year",
+    "week_of_year",
+    "month",
+    "quarter",
+    "year",
+    "season",
+    "annual_position",
+)
+
 
 def is_peak_hour(time: Column) -> Column:
     hour = F.hour(time)
@@ -37,15 +51,22 @@ def day_name(time: Column) -> Column:
     return F.date_format(time, "EEEE")
 
 
+def temporal_names(freq: str) -> list[str]:
+    return [*CLOCK_NAMES, *DATE_NAMES] if freq == "hour" else list(DATE_NAMES)
+
+
+def fourier_names(freq: str) -> list[str]:
+    turns = ("hour", "week", "year") if freq == "hour" else ("week", "year")
+    return [f"{fn}_{turn}" for turn in turns for fn in ("sin", "cos")]
+
+
 def temporal_columns(freq: str, time: str = TIME) -> dict[str, Column]:
     """Clock and calendar parts. Monday is day 0; weeks are ISO weeks."""
     t = F.col(time)
-    hourly = {
+    parts = {
         "hour": F.hour(t),
         "is_peak_hour": is_peak_hour(t),
         "is_night_valley": is_night_valley(t),
-    }
-    daily = {
         "day_of_week": F.weekday(t),
         "day_of_month": F.dayofmonth(t),
         "day_of_year": F.dayofyear(t),
@@ -56,7 +77,7 @@ def temporal_columns(freq: str, time: str = TIME) -> dict[str, Column]:
         "season": season(t),
         "annual_position": F.dayofyear(t) / F.lit(YEAR_DAYS),
     }
-    return hourly | daily if freq == "hour" else daily
+    return {name: parts[name] for name in temporal_names(freq)}
 
 
 def _turn(position: Column, period: float) -> Column:

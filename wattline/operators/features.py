@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wattline.functions import weather as W
-from wattline.functions.calendar import fourier_columns, temporal_columns
+from wattline.functions.calendar import fourier_columns, fourier_names, temporal_columns, temporal_names
 from wattline.names import BY, DEMAND, HUMIDITY, TEMP, TIME
 from wattline.operators.chunks import CHUNK_COL, CHUNK_STEPS, STEP_COL, attach, windowed
 from wattline.operators.holidays import add_holiday_features
@@ -259,6 +259,11 @@ def demand_rolling_features(
     return windowed(df, widest, *stages, by=by, freq=freq, **grid)
 
 
+def derived_weather_names(columns: Sequence[str]) -> list[str]:
+    names = ["cdd", "hdd", "cdd_sq"] if TEMP in columns else []
+    return names + (["heat_index_c", "temp_humidity_interaction"] if names and HUMIDITY in columns else [])
+
+
 def derived_weather_columns(columns: Sequence[str]) -> dict[str, Column]:
     """Degree days, heat index and temperature-humidity product, as far as inputs exist."""
     out: dict[str, Column] = {}
@@ -349,16 +354,16 @@ def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def feature_columns(spec: FeatureSpec, inputs: Sequence[str] = (DEMAND, TEMP, HUMIDITY)) -> list[str]:
     """Feature names in matrix order; the target is not among them."""
     names = [c for c in (TEMP, HUMIDITY) if c in inputs]
-    names += temporal_columns(spec.freq)
+    names += temporal_names(spec.freq)
     names += ["is_weekend", "is_holiday", "is_pre_holiday", "is_post_holiday", "is_working_day"]
     names += ["days_until_holiday", "days_since_holiday"]
-    names += fourier_columns(spec.freq)
+    names += fourier_names(spec.freq)
     names += [spec.lag_name(k) for k in spec.lags]
     if spec.with_annual:
         names.append(spec.lag_name(spec.annual_lag))
     names += [name for name, _, _ in rolling_names(spec)]
     names.append(f"demand_ratio_to_{spec.ratio_window}{spec.suffix}_mean")
-    names += derived_weather_columns(inputs)
+    names += derived_weather_names(inputs)
     if TEMP in inputs:
         names += [n for n, _ in spec.temp_lags] + [n for n, _ in spec.temp_means]
     if HUMIDITY in inputs:
