@@ -10,6 +10,7 @@ from catalog.models import CV_SQL, cv_results
 from catalog.registry import query, scratch
 from wattline.models.registry import load_model, save_model
 from wattline.models.ridge import fit_ridge, predict_ridge
+from wattline.plans.training import pooled_results
 from wattline.sources import files, reports
 from wattline.sources.weather import read_weather_payload
 
@@ -84,7 +85,8 @@ def sink_csv(spark, sf_dir):
 
 @query("sink_metrics_json")
 def sink_metrics_json(spark, sf_dir):
-    path = reports.write_metrics_json(_rounded_board(spark, sf_dir), scratch(spark))
+    """Metrics per model over all series, as one JSON object."""
+    path = reports.write_metrics_json(pooled_results(cv_results(spark, sf_dir)), scratch(spark))
     return spark.read.text(path)
 
 

@@ -157,7 +157,10 @@ def test_ridge_products(spark, holidays):
     history = frame(spark, pdf)
     features = feature_columns(spec)
     fitted = fit_ridge(feature_matrix(history, holidays, freq="hour", spec=spec), features, 10.0).persist()
-    outlook = P.Outlook(holidays, temp_deltas=(0.0, 2.0))
+    # Weather of the horizon continues the sine wave of the history.
+    ahead = pd.concat([sine_hourly(600), sine_hourly(620, start="2023-02-01", series="b")])
+    weather = frame(spark, ahead).drop("demand_mw")
+    outlook = P.Outlook(holidays, weather=weather, temp_deltas=(0.0, 2.0))
     day = P.forecast_next_day(history, P.ridge_forecaster(fitted, features, outlook, horizon=24, spec=spec), outlook)
     got = day.toPandas()
     assert len(got) == 24 * 2 * 2 and got["forecast_mw"].notna().all()

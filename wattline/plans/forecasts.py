@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.calendar import day_name, is_weekend
 from wattline.functions.uncertainty import DAILY_UNCERTAINTY, HOURLY_UNCERTAINTY, Uncertainty
 from wattline.functions.weather import Climatology
-from wattline.models.recursive import FORECAST, recursive_ridge_forecast, seasonal_naive_forecast
+from wattline.models.recursive import (
+    FORECAST,
+    recursive_model_forecast,
+    recursive_ridge_forecast,
+    seasonal_naive_forecast,
+)
 from wattline.names import BY, HORIZONS, HUMIDITY, SCENARIO, STEP, TEMP, TIME, WEATHER_SOURCE
 from wattline.operators.features import SPECS, FeatureSpec
 from wattline.operators.horizon import add_scenarios, future_grid, weather_for_horizon
@@ -68,6 +74,28 @@ def ridge_forecaster(
     )
 
 
+def model_forecaster(
+    model: PipelineModel,
+    outlook: Outlook,
+    *,
+    horizon: int,
+    freq: str = "hour",
+    spec: FeatureSpec | None = None,
+    by: Sequence[str] = BY,
+) -> Forecaster:
+    """For tree models: one job per step, over all series at once."""
+    return lambda history, future: recursive_model_forecast(
+        history,
+        future,
+        model,
+        outlook.holidays,
+        spec=spec or SPECS[freq],
+        horizon=horizon,
+        country=outlook.country,
+        by=by,
+    )
+
+
 def constant_forecaster(value: float = NO_MODEL_MW) -> Forecaster:
     return lambda history, future: future.withColumn(FORECAST, F.lit(float(value)))
 
@@ -209,6 +237,7 @@ __all__ = [
     "forecast_next_month",
     "forecast_next_week",
     "future_weather",
+    "model_forecaster",
     "naive_forecaster",
     "ridge_forecaster",
 ]

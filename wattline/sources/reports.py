@@ -38,7 +38,7 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     """One table line per model."""
     cells = [percent("mape"), megawatts("mae"), megawatts("rmse"), F.format_string("%.4f", F.col("r2")), percent("wape")]
     line = F.concat(F.lit("| **"), F.col("model"), F.lit("** | "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    keys = [c for c in df.columns if c not in (*JSON_METRICS, "max_err", "n_folds")]
+    keys = [c for c in df.columns if c not in (*JSON_METRICS, "max_err", "n_folds", "model")]
     return df.select(*keys, line.alias("value"))
 
 
