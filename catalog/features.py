@@ -9,7 +9,6 @@ from catalog.registry import query, scratch
 from pyspark.sql import functions as F
 from wattline.functions.calendar import fourier_columns, temporal_columns
 from wattline.operators import features as X
-from wattline.operators import kpi
 from wattline.operators.explore import ramp
 from wattline.operators.holidays import add_holiday_features
 from wattline.operators.resample import resample_mean
@@ -247,7 +246,7 @@ def diff_ramp(spark, sf_dir):
 
 @query("diff_day_over_day", _DAILY + _select({"change": f"coalesce(demand_mw - {lag_sql('demand_mw', 1)}, 0.0)"}), "change")
 def diff_day_over_day(spark, sf_dir):
-    return kpi.add_difference(V.daily(spark, sf_dir), "demand_mw", "change").select("series_id", "datetime", "change")
+    return ramp(V.daily(spark, sf_dir), name="change", freq="day").select("series_id", "datetime", "change")
 
 
 # --- matrices ----------------------------------------------------------------------

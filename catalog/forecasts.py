@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wattline.functions.uncertainty import HOURLY_UNCERTAINTY
 from wattline.models.recursive import seasonal_naive_forecast
 from wattline.models.ridge import fit_ridge
+from wattline.models.trees import CANDIDATES, fit_trees
 from wattline.operators import features as X
 from wattline.operators import horizon as H
 from wattline.operators import kpi as K
@@ -23,6 +24,12 @@ def outlook(spark, deltas=(0.0,)):
     return P.Outlook(V.holidays(spark), country="IN", temp_deltas=deltas, decimals=None)
 
 
+def stored_history(spark, sf_dir, freq="hour"):
+    """The cleaned grid as a table: every product reads its history more than once."""
+    grid = V.cleaned(spark, sf_dir) if freq == "hour" else V.daily(spark, sf_dir)
+    return read_table(spark, write_table(grid, scratch(spark)))
+
+
 # --- SQL of the naive products -----------------------------------------------------
 
 _Z = {80: 1.282, 90: 1.645, 95: 1.960}
@@ -111,14 +118,14 @@ def append_future(spark, sf_dir):
 @query("recursive_forecast_hourly", V.with_(V.clean_sql(), hourly_product_sql("week", 168)) + "SELECT series_id, step, datetime, forecast_mw FROM week", "forecast_mw")
 def recursive_forecast_hourly(spark, sf_dir):
     """Naive recursion over a week."""
-    history = V.cleaned(spark, sf_dir)
+    history = stored_history(spark, sf_dir)
     return seasonal_naive_forecast(history, H.future_grid(history, 168), 168).select("series_id", "step", "datetime", "forecast_mw")
 
 
 @query("recursive_forecast_daily", next_month_sql() + "SELECT series_id, step, datetime, forecast_mw FROM month", "forecast_mw")
 def recursive_forecast_daily(spark, sf_dir):
     """Naive recursion over 30 days, four seasons and two days long."""
-    history = V.daily(spark, sf_dir)
+    history = stored_history(spark, sf_dir, "day")
     future = H.future_grid(history, 30, freq="day")
     return seasonal_naive_forecast(history, future, 7, freq="day").select("series_id", "step", "datetime", "forecast_mw")
 
@@ -134,7 +141,7 @@ _BOUNDS = [f"{side}_bound_{k}" for k in _Z for side in ("lower", "upper")]
 
 @query("prediction_intervals", V.with_(V.clean_sql(), hourly_product_sql("week", 168)) + f"SELECT series_id, step, forecast_mw, {', '.join(_BOUNDS)} FROM week", "forecast_mw " + " ".join(_BOUNDS))
 def prediction_intervals(spark, sf_dir):
-    history = V.cleaned(spark, sf_dir)
+    history = stored_history(spark, sf_dir)
     point = seasonal_naive_forecast(history, H.future_grid(history, 168), 168)
     return HOURLY_UNCERTAINTY.attach_intervals(point, decimals=None).select("series_id", "step", "forecast_mw", *_BOUNDS)
 
@@ -146,15 +153,15 @@ _PRODUCT_DOUBLES = " ".join(["forecast_mw", *_BOUNDS, "uncertainty_sigma_mw", "t
 
 
 def next_day_unrounded(spark, sf_dir):
-    return P.forecast_next_day(V.cleaned(spark, sf_dir), P.naive_forecaster("hour"), outlook(spark))
+    return P.forecast_next_day(stored_history(spark, sf_dir), P.naive_forecaster("hour"), outlook(spark))
 
 
 def next_week(spark, sf_dir):
-    return P.forecast_next_week(V.cleaned(spark, sf_dir), P.naive_forecaster("hour"), outlook(spark))
+    return P.forecast_next_week(stored_history(spark, sf_dir), P.naive_forecaster("hour"), outlook(spark))
 
 
 def next_month(spark, sf_dir):
-    return P.forecast_next_month(V.daily(spark, sf_dir), P.naive_forecaster("day"), outlook(spark), daily=True)
+    return P.forecast_next_month(stored_history(spark, sf_dir, "day"), P.naive_forecaster("day"), outlook(spark), daily=True)
 
 
 @query("forecast_next_day", next_day_sql() + f"SELECT {', '.join(_PRODUCT)}, hour, day_of_week FROM next_day", _PRODUCT_DOUBLES)
@@ -191,14 +198,9 @@ def _ridge(spark, history, matrix, spec, alpha, freq, horizon, look):
     return P.ridge_forecaster(fitted, features, look, horizon=horizon, freq=freq, spec=spec)
 
 
-def _stored_history(spark, sf_dir, freq="hour"):
-    grid = V.cleaned(spark, sf_dir) if freq == "hour" else V.daily(spark, sf_dir)
-    return read_table(spark, write_table(grid, scratch(spark)))
-
-
 def ridge_next_day(spark, sf_dir, deltas=(-5.0, 0.0, 5.0)):
     look = outlook(spark, deltas)
-    history = _stored_history(spark, sf_dir)
+    history = stored_history(spark, sf_dir)
     matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=EVENT_SPEC, country="IN")
     return P.forecast_next_day(history, _ridge(spark, history, matrix, EVENT_SPEC, 10.0, "hour", 24, look), look)
 
@@ -212,7 +214,7 @@ def forecast_next_day_ridge(spark, sf_dir):
 @query("forecast_next_week_ridge")
 def forecast_next_week_ridge(spark, sf_dir):
     look = outlook(spark)
-    history = _stored_history(spark, sf_dir)
+    history = stored_history(spark, sf_dir)
     matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=EVENT_SPEC, country="IN")
     return P.forecast_next_week(history, _ridge(spark, history, matrix, EVENT_SPEC, 10.0, "hour", 168, look), look)[1]
 
@@ -221,16 +223,29 @@ def forecast_next_week_ridge(spark, sf_dir):
 def forecast_next_month_ridge(spark, sf_dir):
     """Recursive daily ridge forecast with the full daily matrix, annual lag included."""
     look = outlook(spark)
-    history = _stored_history(spark, sf_dir, "day")
+    history = stored_history(spark, sf_dir, "day")
     matrix = X.feature_matrix(history, look.holidays, freq="day", country="IN")
     return P.forecast_next_month(history, _ridge(spark, history, matrix, X.DAILY, 5.0, "day", 30, look), look, daily=True)
 
 
+@query("recursive_forecast_trees")
+def recursive_forecast_trees(spark, sf_dir):
+    """Three steps of a tree model, one job per step over all series."""
+    look = outlook(spark)
+    history = stored_history(spark, sf_dir)
+    spec = X.HOURLY.limited(24)
+    matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=spec, country="IN")
+    matrix = read_table(spark, write_table(matrix, scratch(spark)))
+    model = fit_trees(matrix, X.feature_columns(spec), CANDIDATES["hour"]["Hourly Trees (Default)"], rounds=4)
+    forecaster = P.model_forecaster(model, look, horizon=3, spec=spec)
+    return forecaster(history, P.future_weather(history, 3, look))
+
+
 @query("forecast_all")
 def forecast_all(spark, sf_dir):
     """All four naive products written as CSV; rows of each."""
     path = scratch(spark)
-    history = _stored_history(spark, sf_dir)
+    history = stored_history(spark, sf_dir)
     P.forecast_all(history, lambda h: P.naive_forecaster("hour"), P.naive_forecaster("day"), outlook(spark), path)
     counts = [
         spark.read.option("header", True).csv(f"{path}/forecast_{name}").agg(F.lit(name).alias("product"), F.count(F.lit(1)).alias("n_rows"))
