@@ -171,6 +171,17 @@ def recursive_ridge_forecast(
     return future.join(predicted, [*keys, STEP], "left").select(*future.columns, value.alias(FORECAST))
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def recursive_model_forecast(
     history: DataFrame,
     future: DataFrame,
@@ -191,7 +202,7 @@ def recursive_model_forecast(
     lineage and survives the loss of executors.
     """
     keys = [*by, SCENARIO]
-    context = _context(history, future, spec, by, time, chunk_steps).checkpoint()
+    context = _checkpointed(_context(history, future, spec, by, time, chunk_steps))
     done = None
     for h in range(1, horizon + 1):
         rows = context
@@ -204,6 +215,6 @@ def recursive_model_forecast(
             chunk_steps=chunk_steps,
         ).filter(F.col(STEP) == h)
         step = model.transform(matrix).select(*keys, STEP, F.greatest(F.col(output), F.lit(0.0)).alias(FORECAST))
-        done = (step if done is None else done.unionByName(step)).checkpoint()
+        done = _checkpointed(step if done is None else done.unionByName(step))
     return future.join(done, [*keys, STEP], "left").select(*future.columns, FORECAST)
 

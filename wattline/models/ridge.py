@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.names import BY, DEMAND
+from wattline.names import BY, DEMAND, TIME
 
 # Penalty of the hourly and the daily candidate.
 ALPHA = {"hour": 10.0, "day": 5.0}
 ALL_ROWS = 0  # fold number of the fit on all rows
 
+_SHARES = 8  # parts the rows of one series are joined in
 _HELD_GROUPS = 64  # matrices a task keeps before it hands them on
 
 
@@ -140,13 +141,27 @@ def linear_score(features: Sequence[str], coefficients: str = "coefficients", st
 
 
 def predict_ridge(
-    df: DataFrame, fitted: DataFrame, features: Sequence[str], *, by: Sequence[str] = BY, output: str = "pred"
+    df: DataFrame,
+    fitted: DataFrame,
+    features: Sequence[str],
+    *,
+    by: Sequence[str] = BY,
+    time: str = TIME,
+    output: str = "pred",
 ) -> DataFrame:
-    """Predictions of each row's own series; with a ``fold`` column also of its fold."""
+    """Predictions of each row's own series; with a ``fold`` column also of its fold.
+
+    Coefficients are repeated a few times and joined on the series and a share of its
+    times, so that the rows of a hot series do not meet in one task.
+    """
     if "fold" in df.columns:
         model = fitted.filter(F.col("fold") != ALL_ROWS)
         on = [*by, "fold"]
     else:
         model, on = fitted.filter(F.col("fold") == ALL_ROWS).drop("fold"), list(by)
-    joined = df.join(model.select(*on, "intercept", "coefficients"), on)
+    spread = model.select(
+        *on, "intercept", "coefficients", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("_share")
+    )
+    share = F.pmod(F.xxhash64(time), F.lit(_SHARES)).cast("int")
+    joined = df.withColumn("_share", share).join(spread, [*on, "_share"])
     return joined.select(*df.columns, linear_score(features).alias(output))
