@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm import dedup
+from wattline.llm import dedup, fingerprints, mixing, pii, sharding
 from wattline.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def query(name: str, oracle: str | None = None):
     def register(build):
-        QUERIES[name] = build
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Python workers of a local session find the package wherever they are started.
+            spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return build
@@ -27,3 +34,27 @@ def query(name: str, oracle: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and kept flag of every document, links at 85 per cent."""
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
+@query("op5_mixing", mixing.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when sources are mixed by weight."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
