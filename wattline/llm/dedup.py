@@ -103,6 +103,7 @@ def _buckets(batches):
 def _blocks(sets: DataFrame) -> DataFrame:
     """``(node, component)``: sets that meet in a bucket, directly or through others."""
     buckets = sets.select("id", "keys").mapInArrow(_buckets, "id long, bucket long")
+    buckets = buckets.repartition(shuffle_partitions(sets.sparkSession), "bucket")  # once, for the heads and for the members
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
     return components(buckets.join(heads.select("bucket", "head"), "bucket"), "id", "head")
 
@@ -188,8 +189,7 @@ def near_duplicates(
     known = table.where("id is not null and n > 0")
     names = known.groupBy("k1", "k2", "n").agg(F.min("id").alias("head"), F.max("id").alias("last"))
     copies = known.join(names.where("head < last"), ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    once = known.join(names.select("k1", "k2", "n", F.col("head").alias("id")), ["k1", "k2", "n", "id"], "left_semi")
-    sets = once.dropDuplicates(["id", "k1", "k2", "n"])
+    sets = known.join(names.select("k1", "k2", "n", F.col("head").alias("id")), ["k1", "k2", "n", "id"], "left_semi")
     blocks = _blocks(sets)
     sized = sets.select("id", "n").join(blocks, F.col("id") == F.col("node")).select("id", "n", F.col("component").alias("block"))
     parts = sized.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))

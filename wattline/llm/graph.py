@@ -16,7 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round is joins on the node with aggregates pre-summed, and is stored, so nothing
     is recomputed. Edges with a null end or equal ends say nothing and are ignored.
     """
-    current = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
+    current = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
