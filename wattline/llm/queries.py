@@ -6,8 +6,10 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattline.llm import dedup, fingerprints, mixing, pii, sharding
+import corpus_pipeline
+from wattline.llm import dedup, fingerprints, lm, mixing, neighbours, pieces, pii, quality, sharding, toxicity
 from wattline.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document and whether the sampling keeps it."""
+    return quality.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[2]
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text again."""
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check="round_trip")
+    return coded.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "round_trip")
+
+
 @query("op5_mixing", mixing.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when sources are mixed by weight."""
@@ -58,3 +80,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op6_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document."""
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of the documents that all stages leave."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -20,6 +20,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+WORD_BYTE = np.zeros(256, bool)
+WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -89,13 +91,19 @@ class Words:
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the border of each."""
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = texts.buffers()
     borders = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[borders[0] : borders[-1]], borders - borders[0]
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z as a-z, as bytes."""
+    raw, borders = utf8(texts)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(borders.astype(np.int64)), pa.py_buffer(_LOWER[raw])])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each byte span, from differences of one running polynomial."""
     power, inverse = _power_tables(len(data) + 1)
