@@ -33,8 +33,8 @@ def tokens(texts: pa.Array) -> T.Words:
     return T.Words(raw, starts, ends, np.searchsorted(starts, borders), T.span_hashes(raw, starts, ends))
 
 
-def shapes(found: T.Words) -> np.ndarray:
-    """Per token: mark (by its first byte), lower, capital, upper, mixed or digits, and whether it repeats the one before."""
+def shapes(found: T.Words, owner: np.ndarray) -> np.ndarray:
+    """Per token: mark (by its first byte), lower, capital, upper, mixed or digits, and whether it repeats one of the two before."""
     upper, digit = (np.concatenate(([0], np.cumsum(t[found.data]))) for t in (_UPPER, _DIGIT))
     size = found.ends - found.starts
     big, figures = upper[found.ends] - upper[found.starts], digit[found.ends] - digit[found.starts]
@@ -43,7 +43,8 @@ def shapes(found: T.Words) -> np.ndarray:
     shape = np.where(figures > 0, 4, shape)
     shape = np.where(_KIND[first] == 2, 5 + first.astype(np.int64), shape)
     again = np.zeros(len(size), np.int64)
-    again[1:] = (found.hashes[1:] == found.hashes[:-1]) | (found.hashes[1:] == np.roll(found.hashes, 1)[:-1])
+    for back in (1, 2):
+        again[back:] |= (found.hashes[back:] == found.hashes[:-back]) & (owner[back:] == owner[:-back])
     return 2 * shape + again
 
 
@@ -55,7 +56,7 @@ def buckets(texts: pa.Array, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     found = tokens(texts)
     owner = np.repeat(np.arange(len(texts)), found.counts)
     n = len(owner)
-    shape = shapes(found).astype(np.uint64)
+    shape = shapes(found, owner).astype(np.uint64)
     pair = np.flatnonzero(owner[1:] == owner[:-1]) if n > 1 else np.zeros(0, np.int64)
     triple = np.flatnonzero(owner[2:] == owner[:-2]) if n > 2 else np.zeros(0, np.int64)
     values = (
