@@ -149,7 +149,7 @@ def _lags(name: str, prefix: str, lags: dict[str, int], freq: str, value: str =
 
     @query(name, sql, " ".join(lags))
     def run(spark, sf_dir):
-        grid = V.cleaned(spark, sf_dir) if freq == "hour" else V.daily(spark, sf_dir)
+        grid = V.mixed(spark, sf_dir) if freq == "hour" else V.daily(spark, sf_dir)
         return X.add_lags(grid, lags, value=value, freq=freq).select("series_id", "datetime", *lags)
 
 
@@ -158,17 +158,17 @@ def _rolls(name: str, prefix: str, frames: list[tuple[str, str, int]], freq: str
 
     @query(name, sql, " ".join(n for n, _, _ in frames))
     def run(spark, sf_dir):
-        grid = V.cleaned(spark, sf_dir) if freq == "hour" else V.daily(spark, sf_dir)
-        out = X.add_rolling(grid, frames, value=value, freq=freq)
+        grid = {"hour": V.cleaned, "day": V.daily, "mixed": V.mixed}[freq](spark, sf_dir)
+        out = X.add_rolling(grid, frames, value=value, freq="day" if freq == "day" else "hour")
         return out.select("series_id", "datetime", *[n for n, _, _ in frames])
 
 
-_lags("lag_hourly", _HOURLY, {f"lag_{k}h": k for k in X.HOURLY.lags}, "hour")
+_lags("lag_hourly", V.with_(V.clean_sql(V.MIXED_SQL)), {f"lag_{k}h": k for k in X.HOURLY.lags}, "hour")
 _lags("lag_daily", _DAILY, {f"lag_{k}d": k for k in X.DAILY.lags}, "day")
 _rolls("roll_24h", _HOURLY, [(f"rolling_{s}_24h", s, 24) for s in X.STATS], "hour")
 _rolls("roll_168h", _HOURLY, [(f"rolling_{s}_168h", s, 168) for s in X.STATS], "hour")
-# The events cover 720 hours, so the 720-step frame runs over the 2,400 days of the orders.
-_rolls("roll_720h", _DAILY, [(f"rolling_{s}_720h", s, 720) for s in X.STATS], "day")
+# The events cover 720 hours, so the 720-hour frame runs over the line items.
+_rolls("roll_720h", V.with_(V.clean_sql(V.MIXED_SQL)), [(f"rolling_{s}_720h", s, 720) for s in X.STATS], "mixed")
 _rolls("roll_7d", _DAILY, [(f"rolling_{s}_7d", s, 7) for s in X.STATS], "day")
 _rolls("roll_14d", _DAILY, [(f"rolling_{s}_14d", s, 14) for s in ("mean", "std")], "day")
 _rolls("roll_30d", _DAILY, [(f"rolling_{s}_30d", s, 30) for s in X.STATS], "day")
@@ -267,9 +267,9 @@ def matrix_sql(spec: X.FeatureSpec, source: str = "cleaned", drop_na: bool = Tru
     """CTEs ending in ``matrix``: all features of ``spec``."""
     windows = {spec.lag_name(k): lag_sql("demand_mw", k) for k in spec.lags}
     if spec.with_annual:
-        windows[spec.lag_name(spec.annual_lag)] = (
-            f"CASE WHEN count(*) OVER (PARTITION BY series_id) >= {spec.annual_min_rows} THEN {lag_sql('demand_mw', spec.annual_lag)} END"
-        )
+        n, lag = "count(*) OVER (PARTITION BY series_id)", lag_sql("demand_mw", spec.annual_lag)
+        used = f"{n} >= {spec.annual_min_rows} AND {n} >= 2 * {spec.annual_lag}" if drop_na else f"{n} >= {spec.annual_min_rows}"
+        windows[spec.lag_name(spec.annual_lag)] = f"CASE WHEN {used} THEN {lag} {'ELSE 0.0' if drop_na else ''} END"
     windows |= {n: roll_sql("demand_mw", s, w) for n, s, w in X.rolling_names(spec)}
     windows[f"demand_ratio_to_{spec.ratio_window}{spec.suffix}_mean"] = (
         f"{lag_sql('demand_mw', 1)} / ({roll_sql('demand_mw', 'mean', spec.ratio_window)} + 1e-5)"
@@ -296,12 +296,11 @@ def matrix_doubles(spec: X.FeatureSpec) -> str:
     return " ".join(c for c in matrix_columns(spec) if c not in whole)
 
 
-# Within the 720 hours of the events the longer lags and frames have no full history.
-EVENT_SPEC = X.HOURLY.limited(168)
+_MIXED = V.with_(V.clean_sql(V.MIXED_SQL))
 
 
 def hourly_matrix(spark, sf_dir, drop_na=True):
-    return X.feature_matrix(V.cleaned(spark, sf_dir), V.holidays(spark), freq="hour", spec=EVENT_SPEC, country="IN", drop_na=drop_na)
+    return X.feature_matrix(V.mixed(spark, sf_dir), V.holidays(spark), freq="hour", country="IN", drop_na=drop_na)
 
 
 def daily_matrix(spark, sf_dir, drop_na=True, spec=X.DAILY):
@@ -312,8 +311,9 @@ def _columns(spec):
     return "series_id, datetime, " + ", ".join(matrix_columns(spec))
 
 
-@query("features_hourly", _HOURLY + ", " + matrix_sql(EVENT_SPEC) + f" SELECT {_columns(EVENT_SPEC)} FROM matrix", matrix_doubles(EVENT_SPEC))
+@query("features_hourly", _MIXED + ", " + matrix_sql(X.HOURLY) + f" SELECT {_columns(X.HOURLY)} FROM matrix", matrix_doubles(X.HOURLY))
 def features_hourly(spark, sf_dir):
+    """All 61 features of a series of seven years and of one too short for the annual lag."""
     return hourly_matrix(spark, sf_dir)
 
 
@@ -332,21 +332,28 @@ def drop_sparse_annual_lag(spark, sf_dir):
     return X.null_share(matrix, "lag_365d").withColumn("kept", F.lit(kept))
 
 
-_AT = "2024-01-20 07:00:00"
+_AT = "2001-06-20 07:00:00"
 
 
-@query("features_at_step", _HOURLY + ", " + matrix_sql(EVENT_SPEC, drop_na=False) + f" SELECT {_columns(EVENT_SPEC)} FROM matrix WHERE datetime = TIMESTAMP '{_AT}'", matrix_doubles(EVENT_SPEC))
+@query("features_at_step", _MIXED + ", " + matrix_sql(X.HOURLY, drop_na=False) + f" SELECT {_columns(X.HOURLY)} FROM matrix WHERE datetime = TIMESTAMP '{_AT}'", matrix_doubles(X.HOURLY))
 def features_at_step(spark, sf_dir):
-    return X.features_at(V.cleaned(spark, sf_dir), V.holidays(spark), F.lit(_AT), freq="hour", spec=EVENT_SPEC, country="IN")
+    return X.features_at(V.mixed(spark, sf_dir), V.holidays(spark), F.lit(_AT), freq="hour", country="IN")
+
+
+# Rows left of each series: all but the reach of its longest lag.
+_BUILD_SQL = V.with_(V.MIXED_SQL) + """, spans AS (
+  SELECT date_diff('hour', min(datetime), max(datetime)) + 1 AS hours,
+         date_diff('day', date_trunc('day', min(datetime)), date_trunc('day', max(datetime))) + 1 AS days FROM readings GROUP BY series_id)
+SELECT 'hourly' AS matrix, CAST(sum(hours - CASE WHEN hours >= 17520 THEN 8760 ELSE 720 END) AS BIGINT) AS n_rows, 64 AS n_columns FROM spans
+UNION ALL SELECT 'daily', CAST(sum(days - CASE WHEN days >= 730 THEN 365 ELSE 30 END) AS BIGINT), 53 FROM spans"""
 
 
-@query("build_features")
+@query("build_features", _BUILD_SQL)
 def build(spark, sf_dir):
     """Stored grid to two stored matrices; rows and columns of each."""
     path = scratch(spark)
-    write_table(V.cleaned(spark, sf_dir), f"{path}/hourly_demand")
-    specs = dict(hourly=EVENT_SPEC, daily=X.DAILY.limited(7))
-    tables = zip(("hourly", "daily"), build_features(spark, path, V.holidays(spark), country="IN", **specs), strict=True)
+    write_table(V.mixed(spark, sf_dir), f"{path}/hourly_demand")
+    tables = zip(("hourly", "daily"), build_features(spark, path, V.holidays(spark), country="IN"), strict=True)
     counts = [
         df.agg(F.lit(name).alias("matrix"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
         for name, df in tables
@@ -354,10 +361,10 @@ def build(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), counts)
 
 
-_FEATURES = X.feature_columns(EVENT_SPEC)
+_FEATURES = X.feature_columns(X.HOURLY)
 
 
-@query("select_features", _HOURLY + ", " + matrix_sql(EVENT_SPEC) + f" SELECT {', '.join(_FEATURES)} FROM matrix", " ".join(c for c in matrix_doubles(EVENT_SPEC).split() if c != "demand_mw"))
+@query("select_features", _MIXED + ", " + matrix_sql(X.HOURLY) + f" SELECT {', '.join(_FEATURES)} FROM matrix", " ".join(c for c in matrix_doubles(X.HOURLY).split() if c != "demand_mw"))
 def select_features(spark, sf_dir):
     return X.select_features(hourly_matrix(spark, sf_dir))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from catalog import views as V
-from catalog.features import EVENT_SPEC
 from catalog.registry import query, scratch
 from catalog.weather import CLIM_HUM_SQL, CLIM_TEMP_SQL
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ def outlook(spark, deltas=(0.0,)):
 
 def stored_history(spark, sf_dir, freq="hour"):
     """The cleaned grid as a table: every product reads its history more than once."""
-    grid = V.cleaned(spark, sf_dir) if freq == "hour" else V.daily(spark, sf_dir)
+    grid = {"hour": V.cleaned, "day": V.daily, "mixed": V.mixed}[freq](spark, sf_dir)
     return read_table(spark, write_table(grid, scratch(spark)))
 
 
@@ -200,23 +199,23 @@ def _ridge(spark, history, matrix, spec, alpha, freq, horizon, look):
 
 def ridge_next_day(spark, sf_dir, deltas=(-5.0, 0.0, 5.0)):
     look = outlook(spark, deltas)
-    history = stored_history(spark, sf_dir)
-    matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=EVENT_SPEC, country="IN")
-    return P.forecast_next_day(history, _ridge(spark, history, matrix, EVENT_SPEC, 10.0, "hour", 24, look), look)
+    history = stored_history(spark, sf_dir, "mixed")
+    matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=X.HOURLY, country="IN")
+    return P.forecast_next_day(history, _ridge(spark, history, matrix, X.HOURLY, 10.0, "hour", 24, look), look)
 
 
 @query("forecast_next_day_ridge")
 def forecast_next_day_ridge(spark, sf_dir):
-    """Recursive ridge forecast of every event type under three temperature scenarios."""
+    """Recursive ridge forecast of a long and a short series under three temperature scenarios."""
     return ridge_next_day(spark, sf_dir)
 
 
 @query("forecast_next_week_ridge")
 def forecast_next_week_ridge(spark, sf_dir):
     look = outlook(spark)
-    history = stored_history(spark, sf_dir)
-    matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=EVENT_SPEC, country="IN")
-    return P.forecast_next_week(history, _ridge(spark, history, matrix, EVENT_SPEC, 10.0, "hour", 168, look), look)[1]
+    history = stored_history(spark, sf_dir, "mixed")
+    matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=X.HOURLY, country="IN")
+    return P.forecast_next_week(history, _ridge(spark, history, matrix, X.HOURLY, 10.0, "hour", 168, look), look)[1]
 
 
 @query("forecast_next_month_ridge")
@@ -241,7 +240,15 @@ def recursive_forecast_trees(spark, sf_dir):
     return forecaster(history, P.future_weather(history, 3, look))
 
 
-@query("forecast_all")
+_ALL_SQL = V.with_(V.readings_sql()) + """, ends AS (SELECT series_id, CAST(date_trunc('hour', max(datetime)) AS TIMESTAMP) AS hi FROM readings GROUP BY 1),
+hours AS (SELECT series_id, hi + step * INTERVAL 1 HOUR AS datetime FROM ends, (SELECT unnest(generate_series(1, 168)) AS step))
+SELECT 'next_day' AS product, count(*) * 24 AS n_rows FROM ends
+UNION ALL SELECT 'next_week', count(*) FROM hours
+UNION ALL SELECT 'next_week_daily', count(DISTINCT (series_id, CAST(datetime AS DATE))) FROM hours
+UNION ALL SELECT 'next_month', count(*) * 30 FROM ends"""
+
+
+@query("forecast_all", _ALL_SQL)
 def forecast_all(spark, sf_dir):
     """All four naive products written as CSV; rows of each."""
     path = scratch(spark)

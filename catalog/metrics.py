@@ -53,6 +53,19 @@ def metric_horizon_segments(spark, sf_dir):
     return M.horizon_segments(pairs(spark, sf_dir))
 
 
+_NAN_SQL = _PAIRS.split(", pairs AS")[0] + f""", pairs AS (
+  SELECT series_id, datetime, demand_mw AS y_true, {lag_sql('demand_mw', 168)} AS y_pred FROM cleaned),
+used AS (SELECT * FROM pairs WHERE y_pred IS NOT NULL AND y_true <> 0 AND hour(datetime) NOT IN (3, 5)) """
+
+
+@query("metric_nan", _NAN_SQL + f"SELECT series_id, {metrics_sql('y_true', 'y_pred')} FROM used GROUP BY series_id", " ".join(M.METRICS))
+def metric_nan(spark, sf_dir):
+    """NaN predictions at three and NaN readings at five o'clock count as missing."""
+    nan = F.lit(float("nan"))
+    marked = pairs(spark, sf_dir).withColumns({"y_pred": F.when(F.hour("datetime") == 3, nan).otherwise(F.col("y_pred")), "y_true": F.when(F.hour("datetime") == 5, nan).otherwise(F.col("y_true"))})
+    return M.metrics(marked, ["series_id"])
+
+
 _DAILY = V.with_(V.clean_sql(V.ORDERS_SQL, "day"))
 
 
@@ -71,7 +84,7 @@ def holdout_naive(spark, sf_dir):
     return M.metrics(held, ["series_id"], "demand_mw", "pred", only=("mape", "mae"))
 
 
-_RESIDUALS = V.with_(V.clean_sql()) + f""", predicted AS (
+_RESIDUALS = V.with_(V.clean_sql(V.MIXED_SQL)) + f""", predicted AS (
   SELECT * FROM (SELECT *, {lag_sql('demand_mw', 168)} AS pred FROM cleaned) WHERE pred IS NOT NULL),
 res AS (SELECT series_id, datetime, demand_mw, pred, pred - demand_mw AS residual,
   CASE WHEN demand_mw <> 0 THEN abs(pred - demand_mw) / demand_mw * 100 END AS abs_pct_error FROM predicted)"""

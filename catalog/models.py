@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog import views as V
-from catalog.features import EVENT_SPEC, daily_matrix, hourly_matrix, lag_sql
+from catalog.features import daily_matrix, hourly_matrix, lag_sql
 from catalog.registry import query, scratch
 from pyspark.sql import functions as F
 from wattline.models import folds as folding
@@ -14,13 +14,11 @@ from wattline.operators import features as X
 from wattline.plans import training
 from wattline.sources.files import read_table, write_table
 
-# The events cover 30 days, so hourly validation blocks are two days long here.
-EVENT_BLOCK = 48
 # Boosting rounds of the registered queries; a full candidate has 250 to 400.
 ROUNDS = 8
 DAILY_SPEC = X.DAILY
 
-_HOURLY = V.with_(V.clean_sql())
+_HOURLY = V.with_(V.clean_sql(V.MIXED_SQL))
 _DAILY = V.with_(V.clean_sql(V.ORDERS_SQL, "day"))
 
 
@@ -30,7 +28,7 @@ def stored(spark, matrix):
 
 
 def hourly_naive(spark, sf_dir):
-    grid = X.add_lags(V.cleaned(spark, sf_dir), {"lag_168h": 168}, freq="hour")
+    grid = X.add_lags(V.mixed(spark, sf_dir), {"lag_168h": 168}, freq="hour")
     return grid.filter(F.col("lag_168h").isNotNull())
 
 
@@ -76,9 +74,9 @@ _NAIVE_NAMES = training.NAIVE
 
 # CTEs ending in ``results``: mean fold metrics of both naive candidates.
 CV_SQL = (
-    V.with_(V.clean_sql())
+    V.with_(V.clean_sql(V.MIXED_SQL))
     + f""", h_known AS (SELECT * FROM (SELECT *, {lag_sql('demand_mw', 168)} AS pred FROM cleaned) WHERE pred IS NOT NULL),
-{_blocks_sql("h_known", "h_blocks", EVENT_BLOCK)},
+{_blocks_sql("h_known", "h_blocks", 720)},
 """
     + V.clean_sql(V.ORDERS_SQL, "day", name="d_cleaned")
     .replace("readings", "d_readings")
@@ -96,7 +94,7 @@ results AS (SELECT series_id, model, avg(mape) AS mape, avg(mae) AS mae, avg(rms
 
 
 def _fold_scores(spark, sf_dir):
-    hours = folding.validation_rows(hourly_naive(spark, sf_dir), freq="hour", test_size=EVENT_BLOCK)
+    hours = folding.validation_rows(hourly_naive(spark, sf_dir), freq="hour")
     days = folding.validation_rows(daily_naive(spark, sf_dir), freq="day")
     hours = predict_naive(hours).withColumn("model", F.lit(_NAIVE_NAMES["hour"]))
     days = predict_naive(days, "lag_7d").withColumn("model", F.lit(_NAIVE_NAMES["day"]))
@@ -157,7 +155,7 @@ def select_champion(spark, sf_dir):
 def model_ridge(spark, sf_dir):
     """Hourly ridge: one model per event type, fitted on the whole matrix, and its predictions."""
     matrix = hourly_matrix(spark, sf_dir)
-    features = X.feature_columns(EVENT_SPEC)
+    features = X.feature_columns(X.HOURLY)
     fitted = fit_ridge(matrix, features, 10.0)
     return predict_ridge(matrix, fitted, features).select("series_id", "datetime", "demand_mw", "pred")
 
@@ -165,7 +163,7 @@ def model_ridge(spark, sf_dir):
 def _trees(name: str, freq: str, candidate: str):
     @query(name)
     def run(spark, sf_dir):
-        spec = EVENT_SPEC if freq == "hour" else DAILY_SPEC
+        spec = X.HOURLY if freq == "hour" else DAILY_SPEC
         matrix = stored(spark, hourly_matrix(spark, sf_dir) if freq == "hour" else daily_matrix(spark, sf_dir))
         features = X.feature_columns(spec)
         model = fit_trees(matrix, features, CANDIDATES[freq][candidate], rounds=ROUNDS)
@@ -181,10 +179,10 @@ _trees("model_gbt_daily", "day", "Daily Trees (Dedicated)")
 @query("early_stopping")
 def early_stopping(spark, sf_dir):
     """Rounds kept when the last block decides when boosting stops."""
-    blocks = folding.time_blocks(hourly_matrix(spark, sf_dir), freq="hour", test_size=EVENT_BLOCK)
+    blocks = folding.time_blocks(hourly_matrix(spark, sf_dir), freq="hour")
     marked = stored(spark, blocks.withColumn("_valid", F.col("block") == 5))
     trees = CANDIDATES["hour"]["Hourly Trees (Default)"]
-    model = fit_trees(marked, X.feature_columns(EVENT_SPEC), trees, rounds=ROUNDS, validation="_valid", tolerance=0.02)
+    model = fit_trees(marked, X.feature_columns(X.HOURLY), trees, rounds=ROUNDS, validation="_valid")
     scored = predict_trees(marked, model).filter("_valid")
     return scored.select("series_id", "datetime", "pred", F.lit(model.stages[-1].getNumTrees).alias("n_rounds"))
 
@@ -205,7 +203,7 @@ def train_both_horizons(spark, sf_dir):
     path = scratch(spark)
     write_table(hourly_matrix(spark, sf_dir), f"{path}/features")
     write_table(daily_matrix(spark, sf_dir), f"{path}/features_daily")
-    return training.train_all(spark, path, hourly=dict(test_size=EVENT_BLOCK, trees={}), daily=dict(trees={}))
+    return training.train_all(spark, path, hourly=dict(trees={}), daily=dict(trees={}))
 
 
 @query("feature_importance_topk")
@@ -214,3 +212,10 @@ def feature_importance_topk(spark, sf_dir):
     trees = CANDIDATES["day"]["Daily Trees (Dedicated)"]
     model = fit_trees(matrix, X.feature_columns(DAILY_SPEC), trees, rounds=ROUNDS)
     return importance_table(matrix, model, 15)
+
+
+@query("unserved_series", V.with_(V.readings_sql("user_id"), V.grid_sql()) + """SELECT series_id, count(*) AS n_rows,
+  count(*) || ' rows, 5 folds of 720 need more than 3600' AS reason FROM grid GROUP BY series_id HAVING count(*) <= 3600""")
+def unserved_series(spark, sf_dir):
+    """Series of single users: thirty days are too short for the hourly folds."""
+    return folding.unserved(V.hourly(spark, sf_dir, "user_id"), freq="hour")

@@ -197,3 +197,33 @@ def daily_first(spark, sf_dir):
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("weather_source"),
     )
     return resample_daily_first(events)
+
+
+_BROKEN = V.with_(V.readings_sql()) + """, broken AS (
+  SELECT CASE WHEN event_id % 11 <> 0 THEN series_id END AS series_id, datetime - CASE WHEN event_id % 13 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS datetime,
+    CASE WHEN event_id % 17 = 0 THEN -5.0 WHEN event_id % 19 <> 0 THEN demand_mw END AS demand_mw, event_id FROM readings),
+arrived AS (SELECT *, lag(datetime) OVER (PARTITION BY series_id ORDER BY event_id) > datetime AS back FROM broken),
+times AS (SELECT series_id, datetime, count(*) AS n FROM broken GROUP BY 1, 2),
+twice AS (SELECT series_id, CAST(sum(n - 1) AS BIGINT) AS n_duplicates FROM times GROUP BY 1),
+counts AS (SELECT series_id, count(*) AS total_rows, count(*) FILTER (back) AS n_out_of_order, count(*) FILTER (demand_mw IS NULL) AS null_demand_mw,
+  count(*) FILTER (demand_mw <= 0) AS n_low, min(demand_mw) AS low FROM arrived GROUP BY 1)
+"""
+
+
+@query("dq_report_broken", _BROKEN + """SELECT c.series_id, total_rows, n_out_of_order, null_demand_mw, n_low, n_duplicates, list_filter([
+    CASE WHEN n_out_of_order > 0 THEN 'timestamps are not monotonically increasing' END,
+    CASE WHEN n_duplicates > 0 THEN n_duplicates || ' duplicate timestamps' END,
+    CASE WHEN null_demand_mw > 0 THEN 'unresolved missing values in columns: demand_mw' END,
+    CASE WHEN n_low > 0 THEN n_low || ' non-positive or negative demand values (min=' || printf('%.1f', low) || ')' END], lambda x: x IS NOT NULL) AS issues
+  FROM counts c JOIN twice t ON c.series_id IS NOT DISTINCT FROM t.series_id""")
+def dq_report_broken(spark, sf_dir):
+    """All rules on readings that break them, arrival order and readings without a series included."""
+    k = F.col("event_id")
+    broken = V.readings(spark, sf_dir).select(
+        F.when(k % 11 != 0, F.col("series_id")).alias("series_id"),
+        (F.col("datetime") - F.make_dt_interval(days=F.when(k % 13 == 0, 1).otherwise(0))).alias("datetime"),
+        F.when(k % 17 == 0, -5.0).when(k % 19 != 0, F.col("demand_mw")).alias("demand_mw"),
+        "event_id",
+    )
+    report = Q.quality_report(broken, seq="event_id")
+    return report.select("series_id", "total_rows", "n_out_of_order", "null_demand_mw", "n_low", "n_duplicates", "issues")

@@ -7,12 +7,12 @@ often end in exactly half a unit of the last place, away from the rounding borde
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from wattline.sources.files import checkpoint_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,14 +46,8 @@ def query(name: str, oracle: str | None = None, doubles: str = "") -> Callable[[
 def scratch(spark: SparkSession) -> str:
     """A new folder for tables a query writes.
 
-    On a cluster this lies in the shared folder that ``spark.checkpoint.dir`` names; a
-    local folder is used only by a local session without that setting.
+    It lies in the shared folder that ``spark.checkpoint.dir`` names or, in a session without that
+    setting, below its warehouse.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="wattline-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
+    shared = checkpoint_folder(spark)
     return f"{shared}/wattline-{uuid.uuid4().hex}"

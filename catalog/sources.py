@@ -34,13 +34,29 @@ def scan_csv_mapped(spark, sf_dir):
     )
 
 
-@query("scan_csv_cached", V.with_(V.clean_sql()) + "SELECT 'click' AS series_id, datetime, demand_mw, temp_c, relative_humidity FROM cleaned WHERE series_id = 'click'", "demand_mw temp_c relative_humidity")
+@query("scan_csv_missing", V.with_(V.readings_sql()) + """SELECT series_id, datetime, CASE WHEN event_id % 7 <> 0 THEN demand_mw END AS demand_mw,
+  CASE WHEN event_id % 5 <> 0 THEN temp_c END AS temp_c FROM readings""", "demand_mw temp_c")
+def scan_csv_missing(spark, sf_dir):
+    """Marks for missing values in CSV files are nulls."""
+    path = scratch(spark)
+    rows = V.readings(spark, sf_dir)
+    mark = F.element_at(F.array(*[F.lit(m) for m in ("NA", "NaN", "N/A", "null", "nan", "")]), (F.col("event_id") % 6 + 1).cast("int"))
+    marked = rows.select(
+        "series_id",
+        F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime"),
+        F.when(F.col("event_id") % 7 == 0, mark).otherwise(F.col("demand_mw").cast("string")).alias("demand_mw"),
+        F.when(F.col("event_id") % 5 == 0, mark).otherwise(F.col("temp_c").cast("string")).alias("temp_c"),
+    )
+    files.write_csv(marked, path)
+    return files.read_csv_series(spark, path, series_col="series_id")
+
+
+@query("scan_csv_cached", V.with_(V.clean_sql()) + "SELECT series_id, datetime, demand_mw, temp_c, relative_humidity FROM cleaned", "demand_mw temp_c relative_humidity")
 def scan_csv_cached(spark, sf_dir):
-    """A stored single series in canonical columns."""
+    """Stored series in canonical columns."""
     path = scratch(spark)
-    one = V.cleaned(spark, sf_dir).filter(F.col("series_id") == "click").drop("series_id")
-    files.write_csv(one, path)
-    return files.read_cached_series(spark, path).withColumn("series_id", F.lit("click"))
+    files.write_csv(V.cleaned(spark, sf_dir), path)
+    return files.read_cached_series(spark, path, series_col="series_id")
 
 
 @query("scan_parquet", V.with_(V.readings_sql()) + f"{_ALL} readings", "demand_mw temp_c relative_humidity")

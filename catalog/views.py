@@ -72,6 +72,23 @@ def ship_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as one series of seven years and, since 2001, the returned ones as a short series."""
+    late = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= "2001-01-01")
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(late, "late").otherwise("all").alias("series_id"),
+        F.col("l_shipdate").alias("datetime"),
+        (F.col("l_extendedprice") / 10.0).alias("demand_mw"),
+        (F.col("l_partkey") % 45).cast("double").alias("temp_c"),
+        (F.col("l_orderkey") % 100).cast("double").alias("relative_humidity"),
+    )
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both on a cleaned hourly grid: the long one has annual lags, the short one has not."""
+    return clean(mixed_readings(spark, sf_dir))
+
+
 def holidays(spark: SparkSession) -> DataFrame:
     return fixed_date_holidays(spark, *HOLIDAY_YEARS, HOLIDAYS, "IN")
 
@@ -93,6 +110,12 @@ ORDERS_SQL = """readings AS (
          CAST(o_custkey % 45 AS DOUBLE) AS temp_c, CAST(o_orderkey % 100 AS DOUBLE) AS relative_humidity
   FROM orders)"""
 
+MIXED_SQL = """readings AS (
+  SELECT CASE WHEN l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '2001-01-01' THEN 'late' ELSE 'all' END AS series_id,
+         l_shipdate AS datetime, l_extendedprice / 10.0 AS demand_mw,
+         CAST(l_partkey % 45 AS DOUBLE) AS temp_c, CAST(l_orderkey % 100 AS DOUBLE) AS relative_humidity
+  FROM lineitem)"""
+
 SHIP_SQL = """readings AS (
   SELECT l_returnflag AS series_id, l_shipdate AS datetime, l_extendedprice AS demand_mw FROM lineitem)"""
 

@@ -6,6 +6,7 @@ import pytest
 
 from helpers import assert_same, frame, sine_hourly, to_sorted_pandas
 from pyspark.sql import functions as F
+from wattline.models.ridge import fit_ridge
 from wattline.operators import features as X
 from wattline.operators.holidays import add_holiday_features, fixed_date_holidays
 from wattline.operators.resample import resample_daily_mean
@@ -178,3 +179,19 @@ def test_derived_weather(spark):
     assert got["temp_humidity_interaction"][0] == 21.0
     missing = pdf.assign(temp_c=np.nan)
     assert to_sorted_pandas(X.add_derived_weather(frame(spark, missing)))["cdd"].isna().all()
+
+
+def test_mixed_lengths_equal_single_runs(spark, holidays):
+    both = [sine_hourly(17600, series="long"), sine_hourly(1500, series="short")]
+    run = lambda pdf: to_sorted_pandas(X.feature_matrix(frame(spark, pdf), holidays, freq="hour"))
+    got = run(pd.concat(both, ignore_index=True))
+    assert len(got[got.series_id == "long"]) == 17600 - 8760 and len(got[got.series_id == "short"]) == 1500 - 720
+    for pdf in both:
+        alone = run(pdf)
+        own = got[got.series_id == pdf["series_id"][0]].reset_index(drop=True)
+        pd.testing.assert_frame_equal(own, alone, rtol=1e-12)
+    assert (got[got.series_id == "short"]["lag_8760h"] == 0).all()
+    matrix = X.feature_matrix(frame(spark, pd.concat(both, ignore_index=True)), holidays, freq="hour")
+    names = X.feature_columns(X.HOURLY)
+    fitted = {r["series_id"]: r["coefficients"][names.index("lag_8760h")] for r in fit_ridge(matrix, names, 10.0).collect()}
+    assert fitted["short"] == 0 and fitted["long"] != 0

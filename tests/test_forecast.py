@@ -8,7 +8,7 @@ from helpers import frame, sine_hourly, to_sorted_pandas
 from pyspark.sql import functions as F
 from wattline.functions.uncertainty import DAILY_UNCERTAINTY, HOURLY_UNCERTAINTY, Uncertainty
 from wattline.functions.weather import Climatology
-from wattline.models.recursive import recursive_model_forecast, recursive_ridge_forecast
+from wattline.models.recursive import recursive_model_forecast, recursive_ridge_forecast, unserved
 from wattline.models.ridge import fit_ridge, predict_ridge
 from wattline.models.trees import Trees, fit_trees
 from wattline.operators import horizon as H
@@ -191,6 +191,8 @@ def test_short_history_has_no_forecast(spark, holidays):
     future = P.future_weather(history, 3, P.Outlook(holidays))
     got = recursive_ridge_forecast(history, future, fitted, features, holidays, spec=spec, horizon=3)
     assert [r["forecast_mw"] for r in got.collect()] == [None] * 3
+    short = unserved(history, spec, 3).collect()
+    assert [r["series_id"] for r in short] == ["a"] and "20 rows" in short[0]["reason"]
 
 
 def test_missing_feature_raises(spark, holidays):

@@ -112,3 +112,13 @@ def test_constant_residuals_fall_into_one_bin(spark):
     df = frame(spark, pdf, "series_id string, datetime timestamp_ntz, demand_mw double, pred double")
     got = M.residual_histogram(M.residuals(df).withColumn("residual", F.lit(1.0))).toPandas()
     assert got["n"].sum() == 10 and got["n"].max() == 10 and len(got) == 40
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    rows = [("a", 100.0, 110.0), ("a", 200.0, nan), ("a", nan, 5.0), ("a", 300.0, 270.0), ("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, y_true double, y_pred double")
+    got = M.metrics(df, ["series_id"]).first()
+    assert got["mae"] == 20.0 and got["max_err"] == 30.0 and abs(got["mape"] - 0.1) < 1e-12
+    assert M.usable_pairs(df).count() == 2
+    assert [r["residual"] for r in M.residuals(df, "y_true", "y_pred").collect()] == [10.0, None, None, -30.0, None]

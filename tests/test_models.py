@@ -8,7 +8,7 @@ from wattline.models import folds as folding
 from wattline.models.naive import naive_column, predict_naive
 from wattline.models.registry import load_model, save_model
 from wattline.models.ridge import fit_ridge, predict_ridge
-from wattline.models.trees import Trees, cv_trees, fit_trees, importance_table, predict_trees
+from wattline.models.trees import Trees, best_round, cv_trees, fit_trees, importance_table, predict_trees
 
 ROWS = "series_id string, datetime timestamp_ntz, demand_mw double, x1 double, x2 double, year int"
 
@@ -43,8 +43,18 @@ def test_time_folds(spark, chunk_steps):
         assert sorted(part[part.role == "valid"]["pos"]) == list(range(first, first + size))
 
 
-def test_too_short_series_has_no_folds(spark):
-    assert folding.time_blocks(frame(spark, rows(100), ROWS), freq="hour", n_splits=5, test_size=20).count() == 0
+def test_too_short_series_is_named(spark):
+    df = frame(spark, pd.concat([rows(100), rows(130, "b", 4)], ignore_index=True), ROWS)
+    sizes = dict(freq="hour", n_splits=5, test_size=20)
+    assert {r["series_id"] for r in folding.time_blocks(df, **sizes).collect()} == {"b"}
+    short = folding.unserved(df, **sizes).collect()
+    assert [(r["series_id"], r["n_rows"]) for r in short] == [("a", 100)] and "more than 100" in short[0]["reason"]
+
+
+def test_patience_ends_at_the_best_round():
+    errors = [9.0, 7.0, 8.0, 6.0, 6.5, 6.4, 6.3, 1.0]
+    assert best_round(errors, 2) == 4 and best_round(errors, 9) == 8 and best_round(errors, 1) == 2
+    assert best_round([3.0], 5) == 1
 
 
 def test_ridge_matches_normal_equations(spark):

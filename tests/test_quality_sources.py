@@ -46,12 +46,11 @@ def test_weather_bounds_and_duplicates(spark):
     assert [i.split()[1] for i in report["issues"]] == ["duplicate", "outside", "outside"]
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 3, 10**6])
-def test_arrival_order(spark, chunk_rows):
+def test_arrival_order(spark):
     hours = [2, 1, 3, 3, 5, 4, 9, 8, 7]
     rows = [("a", i, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)) for i, h in enumerate(hours)]
     df = spark.createDataFrame([(s, i, t.to_pydatetime()) for s, i, t in rows], "series_id string, seq int, datetime timestamp_ntz")
-    assert Q.count_out_of_order(df, "seq", chunk_rows=chunk_rows).first()["n_out_of_order"] == 4
+    assert Q.count_out_of_order(df, "seq").first()["n_out_of_order"] == 4
     assert Q.count_duplicates(df).first()["n_duplicates"] == 1
 
 
@@ -115,3 +114,23 @@ def test_reports(spark, tmp_path):
     text = [r["value"] for r in spark.read.text(path).collect()]
     assert text[0].startswith("| Model") and text[2] == line
     reports.write_metrics_json(df, str(tmp_path / "json"))
+
+
+@pytest.mark.parametrize("mark", ["NA", "NaN", "nan", "N/A", "null", ""])
+def test_marks_for_missing_values_are_null(spark, tmp_path, mark):
+    (tmp_path / "a.csv").write_text(f"datetime,demand_mw,temp_c\n2024-01-01 00:00:00,5.5,{mark}\n2024-01-01 01:00:00,{mark},1\n")
+    rows = files.read_csv_series(spark, str(tmp_path / "a.csv")).collect()
+    assert [(r["demand_mw"], r["temp_c"]) for r in rows] == [(5.5, None), (None, 1.0)]
+
+
+def test_other_texts_still_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("datetime,demand_mw\n2024-01-01 00:00:00,five\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_csv_series(spark, str(tmp_path / "a.csv")).collect()
+
+
+def test_readings_without_a_series_are_reported(spark):
+    rows = [(None, 0, pd.Timestamp("2024-01-01").to_pydatetime(), -5.0), ("a", 1, pd.Timestamp("2024-01-01").to_pydatetime(), 5.0)]
+    df = spark.createDataFrame(rows, "series_id string, seq long, datetime timestamp_ntz, demand_mw double")
+    got = {r["series_id"]: r["passed"] for r in Q.quality_report(df, seq="seq").collect()}
+    assert got == {None: False, "a": True}

@@ -31,7 +31,7 @@ def time_blocks(
     """Add ``block``: 0 for the rows every fold trains on, then 1 .. ``n_splits``.
 
     Fold ``k`` trains on blocks below ``k`` and validates on block ``k``. Series without
-    a row left for block 0 cannot be split and are dropped.
+    a row left for block 0 cannot be split and are dropped; ``unserved`` lists them.
     """
     size = test_size or TEST_SIZE[freq]
     numbered = row_positions(df, by=by, freq=freq, time=time, position="_pos", total="_total", **grid)
@@ -40,6 +40,15 @@ def time_blocks(
     return numbered.filter(first > 0).withColumn("block", block.cast("int")).drop("_pos", "_total")
 
 
+def unserved(
+    df: DataFrame, *, freq: str, n_splits: int = N_SPLITS, test_size: int | None = None, by: Sequence[str] = BY
+) -> DataFrame:
+    """Series that are too short for the folds: ``n_rows`` and the ``reason``."""
+    size = test_size or TEST_SIZE[freq]
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") <= n_splits * size)
+    return sizes.withColumn("reason", F.format_string(f"%d rows, {n_splits} folds of {size} need more than {n_splits * size}", "n_rows"))
+
+
 def time_folds(df: DataFrame, *, freq: str, n_splits: int = N_SPLITS, **kwargs) -> DataFrame:
     """One row per fold a row takes part in, with ``fold`` and ``role`` (train or valid)."""
     blocks = time_blocks(df, freq=freq, n_splits=n_splits, **kwargs)
@@ -87,5 +96,6 @@ __all__ = [
     "select_champion",
     "time_blocks",
     "time_folds",
+    "unserved",
     "validation_rows",
 ]

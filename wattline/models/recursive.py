@@ -17,12 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.functions.grid import step_of
+from wattline.functions.grid import step_of, time_of
 from wattline.models.ridge import ALL_ROWS
 from wattline.names import BY, DEMAND, SCENARIO, STEP, TIME
 from wattline.operators.chunks import CHUNK_STEPS
-from wattline.operators.features import FeatureSpec, any_length, feature_matrix, rolling_names
+from wattline.operators.features import (
+    FeatureSpec,
+    any_length,
+    feature_matrix,
+    require_features,
+    rolling_names,
+    without_annual_gaps,
+)
 from wattline.operators.horizon import append_future, history_tail
+from wattline.sources.files import checkpoint_folder
 
 FORECAST = "forecast_mw"
 
@@ -40,7 +48,10 @@ def seasonal_naive_forecast(
     """Repeat the last season; equal to feeding naive predictions back step by step."""
     seasons = F.ceil(F.col(STEP) / season)
     source = step_of(F.col(time), freq) - seasons * season
-    past = history.select(*by, step_of(F.col(time), freq).alias("_source"), F.col(value).alias("_value"))
+    # No series looks back further than a season before the earliest first step, so the scan stops there.
+    earliest = future.agg(time_of(F.min(step_of(F.col(time), freq)) - season, freq)).scalar()
+    recent = history.filter(F.col(time) >= earliest)
+    past = recent.select(*by, step_of(F.col(time), freq).alias("_source"), F.col(value).alias("_value"))
     joined = future.withColumn("_source", source).join(past, [*by, "_source"], "left")
     floored = F.when(F.col("_value").isNotNull(), F.greatest(F.col("_value"), F.lit(0.0)))
     return joined.select(*future.columns, floored.alias(FORECAST))
@@ -101,6 +112,7 @@ def recursive_ridge_forecast(
     spec: FeatureSpec,
     horizon: int,
     country: str | None = None,
+    missing: float | None = None,
     by: Sequence[str] = BY,
     time: str = TIME,
     chunk_steps: int = CHUNK_STEPS,
@@ -108,8 +120,9 @@ def recursive_ridge_forecast(
     """Forecast every future row with the ridge model of its series, floored at zero.
 
     ``history`` is a dense cleaned grid, ``future`` has weather, ``step`` and scenario,
-    ``fitted`` comes from ``fit_ridge`` on ``features``. A series whose history is
-    shorter than the longest frame has no forecast (null).
+    ``fitted`` comes from ``fit_ridge`` on ``features``. A feature that can't be computed raises, or
+    is taken as ``missing`` if that is given. A series whose history is shorter than the
+    longest frame has no forecast (null); ``unserved`` names such series and the reason.
     """
     keys = [*by, SCENARIO]
     rows = feature_matrix(
@@ -123,9 +136,7 @@ def recursive_ridge_forecast(
         time=time,
         chunk_steps=chunk_steps,
     )
-    absent = [c for c in features if c not in rows.columns]
-    if absent:
-        raise ValueError(f"feature columns missing: {absent}")
+    rows = require_features(without_annual_gaps(rows, spec), features, missing)
     terms = {n: t for n, t in autoregressive_terms(spec, horizon).items() if n in features}
     fixed = [c for c in features if c not in terms]
     longest = max([k for _, k in terms.values()], default=1)
@@ -171,14 +182,16 @@ def recursive_ridge_forecast(
     return future.join(predicted, [*keys, STEP], "left").select(*future.columns, value.alias(FORECAST))
 
 
+def unserved(history: DataFrame, spec: FeatureSpec, horizon: int, *, by: Sequence[str] = BY, time: str = TIME) -> DataFrame:
+    """Series that a recursive model can't forecast: ``n_rows`` and the ``reason``."""
+    longest = max(k for _, k in autoregressive_terms(spec, horizon).values())
+    sizes = history.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") < longest)
+    return sizes.withColumn("reason", F.format_string("%d rows of history, the longest frame has " + str(longest), "n_rows"))
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        spark.sparkContext.setCheckpointDir(folder)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -214,6 +227,7 @@ def recursive_model_forecast(
             rows, holidays, freq=spec.freq, spec=any_length(spec), country=country, drop_na=False, by=keys, time=time,
             chunk_steps=chunk_steps,
         ).filter(F.col(STEP) == h)
+        matrix = without_annual_gaps(matrix, spec)
         step = model.transform(matrix).select(*keys, STEP, F.greatest(F.col(output), F.lit(0.0)).alias(FORECAST))
         done = _checkpointed(step if done is None else done.unionByName(step))
     return future.join(done, [*keys, STEP], "left").select(*future.columns, FORECAST)

@@ -29,16 +29,17 @@ class Trees:
     min_rows: int = 1
     feature_share: str = "all"
     row_share: float = 1.0
+    patience: int = 0
 
 
-# Rounds, learning rate, depth, smallest leaf and sampling per candidate.
+# Rounds, learning rate, depth, smallest leaf, sampling and patience per candidate.
 CANDIDATES = {
     "hour": {
-        "Hourly Trees (Default)": Trees(300, 0.05, 5, 20),
-        "Hourly Trees (Tuned)": Trees(400, 0.04, 6, 15, "0.8", 0.8),
+        "Hourly Trees (Default)": Trees(300, 0.05, 5, 20, patience=30),
+        "Hourly Trees (Tuned)": Trees(400, 0.04, 6, 15, "0.8", 0.8, patience=30),
         "Hourly Trees (Depth 5)": Trees(300, 0.04, 5, 1, "0.8", 0.8),
     },
-    "day": {"Daily Trees (Dedicated)": Trees(250, 0.03, 5, 10, "0.85", 0.85)},
+    "day": {"Daily Trees (Dedicated)": Trees(250, 0.03, 5, 10, "0.85", 0.85, patience=25)},
 }
 
 
@@ -48,15 +49,9 @@ def trees_estimator(
     *,
     target: str = DEMAND,
     rounds: int | None = None,
-    validation: str | None = None,
-    tolerance: float = 0.001,
     output: str = "pred",
 ) -> Pipeline:
-    """Assembler and boosted trees.
-
-    ``rounds`` overrides the number of trees. With ``validation``, a boolean column,
-    boosting stops when the error on the marked rows stops improving by ``tolerance``.
-    """
+    """Assembler and boosted trees; ``rounds`` overrides the number of trees."""
     booster = GBTRegressor(
         featuresCol="_features",
         labelCol=target,
@@ -67,19 +62,44 @@ def trees_estimator(
         minInstancesPerNode=trees.min_rows,
         featureSubsetStrategy=trees.feature_share,
         subsamplingRate=trees.row_share,
-        validationTol=tolerance,
         seed=SEED,
     )
-    if validation is not None:
-        booster = booster.setValidationIndicatorCol(validation)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     return Pipeline(stages=[assembler, booster])
 
 
-def fit_trees(df: DataFrame, features: Sequence[str], trees: Trees, **kwargs) -> PipelineModel:
-    """Fit on the rows without a missing feature or target."""
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Rounds up to the best one, where ``patience`` rounds without a better one end the search."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_trees(
+    df: DataFrame, features: Sequence[str], trees: Trees, *, validation: str | None = None, patience: int | None = None, **kwargs
+) -> PipelineModel:
+    """Fit on the rows without a missing feature or target.
+
+    With ``validation``, a boolean column, the marked rows aren't trained on: they decide the number of
+    rounds, by the error after each round and the candidate's patience. Boosting is deterministic, so the
+    fit with that number of rounds is the beginning of the full one.
+    """
     target = kwargs.get("target", DEMAND)
-    return trees_estimator(features, trees, **kwargs).fit(complete_rows(df, [*features, target]))
+    rows = complete_rows(df, [*features, target])
+    if validation is None:
+        return trees_estimator(features, trees, **kwargs).fit(rows)
+    seen, held = rows.filter(~F.col(validation)), rows.filter(F.col(validation))
+    full = trees_estimator(features, trees, **kwargs).fit(seen)
+    assembler, booster = full.stages
+    errors = booster.evaluateEachIteration(assembler.transform(held), "squared")
+    rounds = best_round(errors, trees.patience if patience is None else patience)
+    if rounds == len(errors):
+        return full
+    return trees_estimator(features, trees, **(kwargs | {"rounds": rounds})).fit(seen)
 
 
 def predict_trees(df: DataFrame, model: PipelineModel) -> DataFrame:

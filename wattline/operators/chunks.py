@@ -138,9 +138,13 @@ def row_positions(
     time: str = TIME,
     position: str = "row_pos",
     total: str = "n_rows",
+    last: int | None = None,
     chunk_steps: int = CHUNK_STEPS,
 ) -> DataFrame:
-    """Add the 0-based position of a row in its series, and the series length."""
+    """Add the 0-based position of a row in its series, and the series length.
+
+    With ``last``, chunks without any of the last so many rows are left out before rows are numbered.
+    """
     base = with_chunk(df, freq=freq, time=time, chunk_steps=chunk_steps)
     sizes = base.groupBy(*by, CHUNK_COL).agg(F.count(F.lit(1)).alias("_size"))
     series = Window.partitionBy(*by)  # one row per chunk
@@ -150,7 +154,11 @@ def row_positions(
         CHUNK_COL,
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
         F.sum("_size").over(series).alias(total),
+        "_size",
     )
+    if last is not None:
+        offsets = offsets.filter(F.col(total) - F.col("_offset") - F.col("_size") < last)
+    offsets = offsets.drop("_size")
     number = F.row_number().over(chunk_window(by)) - 1
     return (
         base.join(offsets, [*by, CHUNK_COL])

@@ -19,9 +19,6 @@ from wattline.names import BY, DEMAND, HUMIDITY, TEMP, TIME
 from wattline.operators.chunks import CHUNK_STEPS, attach, windowed
 from wattline.operators.holidays import add_holiday_features
 
-# Up to here frames slide. Measured on 10 million rows, four statistics of 168 rows take
-# 60 s when they slide and 13 to 17 s from blocks.
-LONGEST_SLIDING_FRAME = 8
 STATS = ("mean", "std", "min", "max")
 
 
@@ -118,23 +115,9 @@ def _lag_stage(value: str, names: dict[str, int]):
 # (value column, result name, one of STATS, width in rows)
 Frame = tuple[str, str, str, int]
 
-_SLIDING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 _PAIRWISE = {"min": F.least, "max": F.greatest}
 
 
-def _sliding_stage(frames: Sequence[Frame]):
-    """Window frames as such. Each output row reads its whole frame again."""
-
-    def stage(df: DataFrame, w: WindowSpec) -> DataFrame:
-        out = {}
-        for value, name, stat, width in frames:
-            frame = w.rowsBetween(-width, -1)
-            out[name] = F.when(F.count(value).over(frame) == width, _SLIDING[stat](value).over(frame))
-        return df.withColumns(out)
-
-    return stage
-
-
 # Rows of one size that make up the next one.
 RADIX = 4
 
@@ -247,10 +230,8 @@ def _block_stage(frames: Sequence[Frame]):
 
 
 def rolling_stages(frames: Sequence[Frame]) -> list:
-    if not frames:
-        return []
-    long = max(width for _, _, _, width in frames) > LONGEST_SLIDING_FRAME
-    return [_block_stage(frames) if long else _sliding_stage(frames)]
+    """One algorithm at every width, so a frame's last bits don't depend on its companions."""
+    return [_block_stage(frames)] if frames else []
 
 
 def add_lags(df: DataFrame, names: dict[str, int], *, value: str = DEMAND, freq: str, **grid) -> DataFrame:
@@ -285,7 +266,7 @@ def _ratio_stage(value: str, spec: FeatureSpec):
 
 
 def demand_lag_features(df: DataFrame, *, freq: str, spec: FeatureSpec | None = None, value: str = DEMAND, **grid) -> DataFrame:
-    """The lags of the spec; the annual one is null in series that are too short."""
+    """The lags of the spec; the annual one is null in series that are too short for it."""
     spec = spec or SPECS[freq]
     names = {spec.lag_name(k): k for k in spec.lags}
     if spec.with_annual:
@@ -302,6 +283,20 @@ def _only_long_series(df: DataFrame, spec: FeatureSpec, **grid) -> DataFrame:
     return counted.withColumn(name, F.when(F.col("_rows") >= spec.annual_min_rows, F.col(name))).drop("_rows")
 
 
+def _annual_where_used(df: DataFrame, spec: FeatureSpec, **grid) -> DataFrame:
+    """Rows that know their annual lag, and all rows of series that don't use it, with 0 there.
+
+    A series uses it if it has ``annual_min_rows`` rows and the lag reaches back over at
+    most half of them. Elsewhere the column is constant, which leaves a linear model of that series as it is
+    without the column (its coefficient is 0), and trees nothing to split on.
+    """
+    name = F.col(spec.lag_name(spec.annual_lag))
+    counted = attach(df, [F.count(F.lit(1)).alias("_rows")], freq=spec.freq, **grid)
+    used = (F.col("_rows") >= spec.annual_min_rows) & (F.col("_rows") >= 2 * spec.annual_lag)
+    lag = F.when(used, name).otherwise(0.0)
+    return counted.withColumn(spec.lag_name(spec.annual_lag), lag).drop("_rows")
+
+
 def demand_rolling_features(
     df: DataFrame, *, freq: str, spec: FeatureSpec | None = None, value: str = DEMAND, **grid
 ) -> DataFrame:
@@ -372,8 +367,9 @@ def feature_matrix(
     """Temporal, holiday, cyclical, lag, rolling and weather features of a dense grid.
 
     The columns follow from ``spec`` and never from the data. With ``drop_na`` the rows
-    without a complete history are dropped; an annual lag that is missing in more than
-    half of all rows should be left out first (``drop_sparse``).
+    without a complete history are dropped. Each series decides for itself whether it has
+    an annual lag: many series in one table equal the union of single runs. In a series too
+    short for it the column is 0 (with ``drop_na``) or null.
     """
     spec = spec or SPECS[freq]
     grid = dict(by=by, time=time, chunk_steps=chunk_steps)
@@ -384,7 +380,10 @@ def feature_matrix(
     frames = [(DEMAND, *f) for f in rolling_names(spec)] + frames
     stages = [*rolling_stages(frames), _lag_stage(DEMAND, lags), _ratio_stage(DEMAND, spec), *weather_lags]
     base = windowed(df, spec.reach() + 1, *stages, freq=freq, **grid)
-    base = _only_long_series(base, spec, **grid)
+    if not drop_na:
+        base = _only_long_series(base, spec, **grid)
+    elif spec.with_annual:
+        base = _annual_where_used(base, spec, **grid)
     if drop_na:
         # Calendar columns are never null, and derived weather only where its inputs are.
         base = complete_rows(base)
@@ -426,6 +425,12 @@ def feature_columns(spec: FeatureSpec, inputs: Sequence[str] = (DEMAND, TEMP, HU
     return names
 
 
+def without_annual_gaps(df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """0 for an annual lag that lies before the series, as models of short series expect."""
+    name = spec.lag_name(spec.annual_lag)
+    return df.withColumn(name, F.coalesce(F.col(name), F.lit(0.0))) if spec.with_annual else df
+
+
 def any_length(spec: FeatureSpec) -> FeatureSpec:
     """The spec for a piece of a series, whose length says nothing about the whole."""
     return replace(spec, annual_min_rows=0)

@@ -17,6 +17,12 @@ FORECAST_DAYS_USED = 14
 FORECAST_DAYS_MAX = 16
 
 
+def check_days(days: int) -> int:
+    if days > FORECAST_DAYS_MAX:
+        raise ValueError(f"a weather forecast covers at most {FORECAST_DAYS_MAX} days, not {days}")
+    return days
+
+
 def future_grid(
     history: DataFrame, horizon: int, *, freq: str = "hour", by: Sequence[str] = BY, time: str = TIME
 ) -> DataFrame:
@@ -34,8 +40,12 @@ def history_tail(
     history: DataFrame, steps: int, *, freq: str = "hour", by: Sequence[str] = BY, time: str = TIME, **grid
 ) -> DataFrame:
     """The last ``steps`` grid steps of each series."""
-    last = F.max(step_of(F.col(time), freq)).alias("_newest")
-    dated = attach(history, [last], by=by, freq=freq, time=time, **grid)
+    step = step_of(F.col(time), freq)
+    last = F.max(step).alias("_newest")
+    # The series that ends first bounds what the scan reads.
+    ends = history.groupBy(*by).agg(last)
+    earliest = ends.agg(time_of(F.min("_newest") - steps + 1, freq)).scalar()
+    dated = attach(history.filter(F.col(time) >= earliest), [last], by=by, freq=freq, time=time, **grid)
     return dated.filter(step_of(F.col(time), freq) > F.col("_newest") - steps).drop("_newest")
 
 
@@ -48,7 +58,7 @@ def limit_weather_forecast(
     forecast: DataFrame, start: Column, days: int = FORECAST_DAYS_USED, time: str = TIME
 ) -> DataFrame:
     """Forecast rows of at most ``days`` days from ``start``."""
-    end = start.cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(min(days, FORECAST_DAYS_MAX)))
+    end = start.cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(check_days(days)))
     return forecast.filter(F.col(time) < end)
 
 
@@ -80,7 +90,7 @@ def weather_for_horizon(
         label.alias("_source"),
     )
     joined = future.join(known, [*on, time], "left")
-    used = F.col("_temp").isNotNull() & (F.col(STEP) <= min(days, FORECAST_DAYS_MAX) * 24)
+    used = F.col("_temp").isNotNull() & (F.col(STEP) <= check_days(days) * 24)
     return joined.select(
         *future.columns,
         F.when(used, F.col("_temp")).otherwise(clim[TEMP]).alias(TEMP),

@@ -20,15 +20,23 @@ HOLDOUT_ROWS = 60 * 24
 HISTOGRAM_BINS = 40
 
 
+def _known(*columns: Column) -> Column:
+    """Neither null nor NaN, in any of the columns."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & c.isNotNull() & ~F.isnan(c.cast("double"))
+    return out
+
+
 def usable_pairs(df: DataFrame, actual: str = "y_true", predicted: str = "y_pred") -> DataFrame:
-    """Rows that count for the metrics: both values known and the actual not zero."""
-    return df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull() & (F.col(actual) != 0))
+    """Rows that count for the metrics: both values known, neither NaN, and the actual not zero."""
+    return df.filter(_known(F.col(actual), F.col(predicted)) & (F.col(actual) != 0))
 
 
 def metric_columns(actual: str = "y_true", predicted: str = "y_pred") -> dict[str, Column]:
     """Aggregates over usable pairs; all null when there is none."""
     y, p = F.col(actual), F.col(predicted)
-    used = y.isNotNull() & p.isNotNull() & (y != 0)
+    used = _known(y, p) & (y != 0)
     error = F.when(used, y - p)
     truth = F.when(used, y)
     squared = F.sum(error * error)
@@ -73,7 +81,7 @@ def horizon_segments(
     """
     longest = max(n for _, n in segments)
     leading = (
-        df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
+        df.filter(_known(F.col(actual), F.col(predicted)))
         .select(*by, time, actual, predicted)
         .withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy(time)))
         .filter(F.col("_row") <= longest)
@@ -88,13 +96,13 @@ def horizon_segments(
 
 def tail(df: DataFrame, n: int, *, by: Sequence[str] = BY, freq: str = "hour", time: str = TIME, **grid) -> DataFrame:
     """The last ``n`` rows of each series."""
-    numbered = row_positions(df, by=by, freq=freq, time=time, position="_pos", total="_total", **grid)
+    numbered = row_positions(df, by=by, freq=freq, time=time, position="_pos", total="_total", last=n, **grid)
     return numbered.filter(F.col("_total") - F.col("_pos") <= n).drop("_pos", "_total")
 
 
 def residuals(df: DataFrame, actual: str = DEMAND, predicted: str = "pred") -> DataFrame:
-    """Add ``residual`` and ``abs_pct_error`` (in percent)."""
-    residual = F.col(predicted) - F.col(actual)
+    """Add ``residual`` and ``abs_pct_error`` (in percent); null where either value is missing or NaN."""
+    residual = F.when(_known(F.col(actual), F.col(predicted)), F.col(predicted) - F.col(actual))
     # A zero actual has no percentage error.
     return df.withColumns(
         {"residual": residual, "abs_pct_error": F.try_divide(F.abs(residual), F.col(actual)) * 100.0}

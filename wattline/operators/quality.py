@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from pyspark.sql import types as T
 from wattline.names import BY, DEMAND, HUMIDITY, TEMP, TIME
 
 # Rows of one series that are compared in arrival order within one task.
-ARRIVAL_CHUNK = 1_000_000
 
 
 class DataQualityError(ValueError):
@@ -54,27 +54,25 @@ def extent(df: DataFrame, *, by: Sequence[str] = BY, time: str = TIME) -> DataFr
     )
 
 
-def count_out_of_order(
-    df: DataFrame, seq: str, *, by: Sequence[str] = BY, time: str = TIME, chunk_rows: int = ARRIVAL_CHUNK
-) -> DataFrame:
+def count_out_of_order(df: DataFrame, seq: str, *, by: Sequence[str] = BY, time: str = TIME) -> DataFrame:
     """Readings that are older than the one that arrived before them, per series.
 
-    ``seq`` is the arrival number. Each stretch of ``chunk_rows`` arrival numbers is
-    compared on its own; one row per stretch then settles the borders.
+    ``seq`` is the arrival number, dense or not. Readings are dealt to ranges of series and arrival number, so a hot
+    series is cut where it has readings. Each range is compared on its own; one
+    row per series and range then settles the borders.
     """
-    chunk = F.floor(F.col(seq) / chunk_rows)
-    stretch = Window.partitionBy(*by, "_chunk").orderBy(seq)
+    ranged = df.select(*by, seq, time).repartitionByRange(*by, seq).withColumn("_range", F.spark_partition_id())
+    stretch = Window.partitionBy(*by, "_range").orderBy(seq)
     inside = (
-        df.select(*by, seq, time, chunk.alias("_chunk"))
-        .withColumn("_back", (F.lag(time).over(stretch) > F.col(time)).cast("long"))
-        .groupBy(*by, "_chunk")
+        ranged.withColumn("_back", (F.lag(time).over(stretch) > F.col(time)).cast("long"))
+        .groupBy(*by, "_range")
         .agg(
             F.coalesce(F.sum("_back"), F.lit(0)).alias("_back"),
             F.min_by(time, seq).alias("_first"),
             F.max_by(time, seq).alias("_last"),
         )
     )
-    border = F.lag("_last").over(Window.partitionBy(*by).orderBy("_chunk")) > F.col("_first")
+    border = F.lag("_last").over(Window.partitionBy(*by).orderBy("_range")) > F.col("_first")
     return (
         inside.withColumn("_border", F.coalesce(border.cast("long"), F.lit(0)))
         .groupBy(*by)
@@ -146,8 +144,9 @@ def quality_report(
 ) -> DataFrame:
     """One row per series with all counts, ``issues`` in the order of the rules, ``passed``.
 
-    The readings are read once: they are aggregated per time first, which counts the
-    duplicates, and then per series. Arrival order is checked when ``seq`` is given.
+    The readings are aggregated per time first, which counts the duplicates, and then
+    per series. With ``seq`` arrival order is checked too, in a second reading. Readings without a
+    series are a series of their own.
     """
     check_time_type(df, time)
     columns = _value_columns(df, by, time, seq)
@@ -183,7 +182,9 @@ def quality_report(
         *[F.max(n).alias(n) for n in highs],
     )
     if seq is not None:
-        report = report.join(count_out_of_order(df, seq, by=by, time=time), list(by))
+        order = count_out_of_order(df, seq, by=by, time=time).withColumnsRenamed({k: f"_{k}" for k in by})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
+        report = report.join(order, same).drop(*[f"_{k}" for k in by])
 
     def shown(name: str) -> Column:
         return F.format_string("%.1f", F.col(name))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattline.names import BY, VALUES
 from wattline.operators.clean import clean
-from wattline.operators.features import DAILY, HOURLY, FeatureSpec, complete_rows, drop_sparse, feature_matrix
+from wattline.operators.features import DAILY, HOURLY, FeatureSpec, feature_matrix
 from wattline.operators.resample import resample_daily_mean
 from wattline.sources.files import read_table, write_table
 
@@ -21,11 +21,7 @@ def prepare(raw: DataFrame, path: str, *, by: Sequence[str] = BY) -> str:
 def _store_matrix(
     grid: DataFrame, holidays: DataFrame, path: str, spec: FeatureSpec, country: str | None, by: Sequence[str]
 ) -> str:
-    full = feature_matrix(grid, holidays, freq=spec.freq, spec=spec, country=country, drop_na=False, by=by)
-    if spec.with_annual:
-        # Only the lag itself is computed for this one number; other columns are pruned.
-        full = drop_sparse(full, spec.lag_name(spec.annual_lag))
-    return write_table(complete_rows(full), path)
+    return write_table(feature_matrix(grid, holidays, freq=spec.freq, spec=spec, country=country, by=by), path)
 
 
 def build_features(

@@ -15,7 +15,7 @@ from wattline.models.registry import save_model
 from wattline.models.ridge import ALPHA, fit_ridge, predict_ridge
 from wattline.models.trees import CANDIDATES, Trees, cv_trees, fit_trees
 from wattline.names import BY, DEMAND, SERIES, TIME
-from wattline.sources.files import read_table, write_table
+from wattline.sources.files import checkpoint_folder, read_table, write_table
 
 # Names of the baseline candidates, in the order they are compared.
 NAIVE = {"hour": "Hourly Naive (Lag 168h)", "day": "Daily Naive (Lag 7d)"}
@@ -25,13 +25,18 @@ POOLED = "all series"
 
 @dataclass(frozen=True)
 class Training:
-    """Outcome of one product line."""
+    """Outcome of one product line.
+
+    ``champions`` has the best candidate of each series, and for series too short for
+    the folds no candidate but the ``reason``.
+    """
 
     freq: str
     features: list[str]
     results: DataFrame
     champion: str
     model: PipelineModel | DataFrame | None
+    champions: DataFrame
 
 
 def candidate_order(freq: str, trees: Mapping[str, Trees] | None = None) -> list[str]:
@@ -56,6 +61,9 @@ def cv_predictions(
     ``matrix`` should be a stored table, since every candidate reads it.
     """
     blocks = folding.time_blocks(matrix, freq=freq, n_splits=n_splits, test_size=test_size, by=by, time=time)
+    # Numbered and stored once: every candidate and fold reads them.
+    checkpoint_folder(matrix.sparkSession)
+    blocks = blocks.checkpoint()
     valid = blocks.filter(F.col("block") > 0).withColumnRenamed("block", "fold")
     fitted = fit_ridge(blocks, features, alpha or ALPHA[freq], by=by, block="block")
     scored = {
@@ -63,7 +71,7 @@ def cv_predictions(
         RIDGE[freq]: predict_ridge(valid, fitted, features, by=by),
     }
     for name, settings in (CANDIDATES[freq] if trees is None else trees).items():
-        scored[name] = cv_trees(blocks, features, settings, n_splits, rounds=rounds)
+        scored[name] = cv_trees(blocks, features, settings, n_splits, rounds=rounds, early_stopping=settings.patience > 0)
     out = None
     for name, df in scored.items():
         part = df.select(*by, time, "fold", F.lit(name).alias("model"), DEMAND, "pred")
@@ -106,12 +114,20 @@ def refit(
 def train(matrix: DataFrame, *, freq: str, by: Sequence[str] = BY, time: str = TIME, **kwargs) -> Training:
     """Cross-validate, choose the champion over all series and refit it."""
     features = [c for c in matrix.columns if c not in (*by, time, DEMAND)]
-    results = cross_validate(matrix, features, freq=freq, by=by, time=time, **kwargs)
-    overall = pooled_results(results).persist()
+    # Stored: the pooled results, the champions and the board all read them.
+    checkpoint_folder(matrix.sparkSession)
+    results = cross_validate(matrix, features, freq=freq, by=by, time=time, **kwargs).checkpoint()
+    overall = pooled_results(results)
     order = candidate_order(freq, kwargs.get("trees"))
-    champion = folding.select_champion(overall, order, by=(SERIES,)).first()["model"]
+    best = folding.select_champion(overall, order, by=(SERIES,)).first()
+    if best is None:
+        raise ValueError("no series is long enough for the folds")
     options = {k: v for k, v in kwargs.items() if k in ("alpha", "trees", "rounds")}
-    return Training(freq, features, overall, champion, refit(matrix, champion, features, freq=freq, by=by, **options))
+    sizes = {k: v for k, v in kwargs.items() if k in ("n_splits", "test_size")}
+    short = folding.unserved(matrix, freq=freq, by=by, **sizes).drop("n_rows")
+    champions = folding.leaderboard(folding.select_champion(results, order, by=by), short)
+    model = refit(matrix, best["model"], features, freq=freq, by=by, **options)
+    return Training(freq, features, overall, best["model"], model, champions)
 
 
 def train_all(
@@ -128,6 +144,7 @@ def train_all(
         train(read_table(spark, f"{path}/features_daily"), freq="day", by=by, **(daily or {})),
     ]
     for outcome in outcomes:
+        write_table(outcome.champions, f"{path}/champions_{outcome.freq}")
         if outcome.model is not None:
             scores = {r["model"]: r.asDict() for r in outcome.results.collect()}  # one row per candidate
             save_model(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.names import BY, DEMAND, HUMIDITY, PROVENANCE, SERIES, TEMP, TIME
@@ -29,6 +29,16 @@ FORECAST_SCHEMAS = {
 }
 
 
+# Texts that stand for a missing number in CSV files.
+MISSING_MARKS = ("", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _number(name: str) -> Column:
+    """A text column as numbers; a mark for a missing value is null, anything else that is no number raises."""
+    text = F.trim(F.col(name))
+    return F.when(~text.isin(*MISSING_MARKS), text).cast("double")
+
+
 def read_csv_series(
     spark: SparkSession,
     path: str,
@@ -51,10 +61,10 @@ def read_csv_series(
         if name not in raw.columns:
             raise KeyError(f"{role} column {name!r} not found in CSV columns: {raw.columns}")
     label = F.col(series_col) if series_col else F.lit(series)
-    columns = [label.alias(SERIES), F.to_timestamp_ntz(F.col(date_col)).alias(TIME), F.col(demand_col).cast("double").alias(DEMAND)]
+    columns = [label.alias(SERIES), F.to_timestamp_ntz(F.col(date_col)).alias(TIME), _number(demand_col).alias(DEMAND)]
     for name, canonical in ((temp_col, TEMP), (humidity_col, HUMIDITY)):
         if name and name in raw.columns:
-            columns.append(F.col(name).cast("double").alias(canonical))
+            columns.append(_number(name).alias(canonical))
     out = raw.select(*columns)
     validate_schema(out)
     return out
@@ -63,16 +73,17 @@ def read_csv_series(
 def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
     # Without a schema or inference every column is a string and only the header is read.
     try:
-        return spark.read.option("header", True).csv(path)
+        # Files of a folder must agree on their header.
+        return spark.read.option("header", True).option("enforceSchema", False).csv(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"input file does not exist: {path}") from error
         raise
 
 
-def read_cached_series(spark: SparkSession, path: str) -> DataFrame:
+def read_cached_series(spark: SparkSession, path: str, **columns) -> DataFrame:
     """A series table in canonical columns, as ``write_csv`` stores it."""
-    return read_csv_series(spark, path)
+    return read_csv_series(spark, path, **columns)
 
 
 def read_forecast_csv(spark: SparkSession, path: str, product: str) -> DataFrame:
@@ -119,3 +130,14 @@ def dataset_metadata(
         ),
         provenance,
     ).withColumn("dataset_name", F.lit(dataset_name))
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, set as the checkpoint folder where none is set.
+
+    It is ``spark.checkpoint.dir``; a session without that setting uses a folder below its warehouse.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
