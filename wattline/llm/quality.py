@@ -109,13 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", size: in
     return model, weighed
 
 
-def best_cut(value: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the widest stretch where balanced accuracy is best."""
+def best_cut(value: np.ndarray, label: np.ndarray, balanced: bool = True) -> float:
+    """The middle of the widest stretch where accuracy is best, each label counting the same or each row."""
     order = np.argsort(value, kind="stable")
     v, y = value[order], label[order]
-    below = np.concatenate(([0], np.cumsum(y == 0))) / max((y == 0).sum(), 1)
-    above = 1 - np.concatenate(([0], np.cumsum(y == 1))) / max((y == 1).sum(), 1)
-    score = (below + above)[1:-1]
+    zeros, ones = ((y == 0).sum(), (y == 1).sum()) if balanced else (len(y), len(y))
+    below = np.concatenate(([0], np.cumsum(y == 0))) / max(zeros, 1)
+    over = np.concatenate(([0], np.cumsum(y == 1))) / max(ones, 1)
+    score = (below + over[-1] - over)[1:-1]
     gap = np.where(score >= score.max() - 1e-12, v[1:] - v[:-1], -1)
     at = int(np.argmax(gap))
     return float((v[at] + v[at + 1]) / 2)

@@ -6,11 +6,12 @@ model has a short vector for each, whose products weigh pairs: an insult and the
 group can count for more together than apart.
 
 The machine is trained on a bounded sample of labelled documents. Terms that are in fewer than ``RARE`` of
-them, or whose chi-square with the label is below ``CHI_SQUARE``, play no part. Scoring covers all documents and whole texts.
+them, or whose chi-square with the label is below ``CHI_SQUARE``, play no part, nor do any beyond the best ``TERMS``. Scoring covers all documents and whole texts.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,10 @@ from wattline.llm.store import stored
 SAMPLE = 20_000
 FACTORS = 4
 EPOCHS = 12
+STEPS = 1_500
 RARE = 2
 CHI_SQUARE = 15.0
+TERMS = 20_000
 BEGINNINGS = (4, 5)
 RATE = 0.1
 DECAY = 2e-4
@@ -87,23 +90,19 @@ class Machine:
         return out
 
 
-def train(values: np.ndarray, borders: np.ndarray, labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 0) -> Machine:
-    """Logistic loss, adaptive steps, mini-batches in a fixed random order.
+def train(known: np.ndarray, place: np.ndarray, borders: np.ndarray, labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 0) -> Machine:
+    """Logistic loss, adaptive steps, mini-batches in a fixed random order, ``STEPS`` steps at least.
 
-    With labels of one kind only, the score is the smoothed share of label 1.
+    ``place`` has the places among the ``known`` terms of each document's terms. With
+    labels of one kind only, the score is the smoothed share of label 1.
     """
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    known, which, seen = np.unique(values, return_inverse=True, return_counts=True)
-    ones = np.bincount(which, np.repeat(labels, np.diff(borders)), len(known))
-    spread = seen * share * (1 - share) * np.maximum(1 - seen / max(len(labels), 1), 1e-3)
-    known = known[(seen >= RARE) & ((ones - seen * share) ** 2 >= CHI_SQUARE * spread)]
     rng = np.random.default_rng(seed)
     machine = Machine(known, float(np.log(share / (1 - share))), np.zeros(len(known)), rng.normal(0, 0.01, (len(known), factors)))
     if not 0 < labels.sum() < len(labels) or not len(known):
         return Machine(known[:0], machine.constant, machine.weights[:0], machine.vectors[:0])
-    place, borders = machine.places(values, borders)
     squares_w, squares_v, square_0 = np.full(len(known), 1e-8), np.full((len(known), factors), 1e-8), 1e-8
-    for _ in range(epochs):
+    for _ in range(max(epochs, math.ceil(STEPS * _BATCH / len(labels)))):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), _BATCH):
             rows = order[at : at + _BATCH]
@@ -127,7 +126,7 @@ def train(values: np.ndarray, borders: np.ndarray, labels: np.ndarray, factors:
                 squares_v[touched, f] += slope * slope
                 machine.vectors[touched, f] -= 0.2 * RATE * slope / np.sqrt(squares_v[touched, f])
     # An even chance lies where labels are told apart best.
-    machine.constant -= best_cut(machine.margins(place, borders), labels)
+    machine.constant -= best_cut(machine.margins(place, borders), labels, balanced=False)
     return machine
 
 
@@ -136,24 +135,62 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % folds == 0, F.lit(True))
 
 
-def _sets(batches):
+def _term_counts(batches):
+    """Documents and documents with label 1 by term, and in the row without a term altogether."""
+    held = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    documents = ones = 0
     for batch in batches:
-        for low, high in T.slices(batch.column("text")):
-            values, borders = terms(batch.column("text").slice(low, high - low))
-            sets = [values[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
-            rest = [batch.column(c).slice(low, high - low) for c in ("doc_id", "label")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(sets, pa.binary())], ["doc_id", "label", "terms"])
+        texts, label = batch.column("text"), np.asarray(batch.column("label"))
+        documents, ones = documents + len(label), ones + int(label.sum())
+        for low, high in T.slices(texts):
+            values, borders = terms(texts.slice(low, high - low))
+            known, which = np.unique(np.concatenate((held[0], values)), return_inverse=True)
+            sides = ((held[1], np.ones(len(values), np.int64)), (held[2], np.repeat(label[low:high], np.diff(borders))))
+            held = [known, *(np.bincount(which, np.concatenate(side), len(known)).astype(np.int64) for side in sides)]
+    columns = [pa.array([None, *held[0].view(np.int64).tolist()], pa.int64()), pa.array([documents, *held[1].tolist()], pa.int64()), pa.array([ones, *held[2].tolist()], pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, ["term", "seen", "ones"])
+
+
+def _selected_terms(rows: DataFrame) -> np.ndarray:
+    """Hashes of the terms that tell labels apart, in order."""
+    counts = stored(rows.mapInArrow(_term_counts, "term long, seen long, ones long").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones")))
+    total = counts.where("term is null").first()
+    n, share = (total.seen, (total.ones + 0.5) / (total.seen + 1)) if total else (0, 0.5)
+    spread = F.col("seen") * share * (1 - share) * F.greatest(1 - F.col("seen") / max(n, 1), F.lit(1e-3))
+    square = F.pow(F.col("ones") - F.col("seen") * share, 2) / spread
+    best = counts.where(F.col("term").isNotNull() & (F.col("seen") >= RARE) & (square >= CHI_SQUARE))
+    top = best.orderBy(F.desc(square), "term").limit(TERMS).select("term").toPandas()
+    return np.sort(top.term.to_numpy(np.int64).view(np.uint64))
+
+
+def _placed(known: np.ndarray):
+    """Places of each document's known terms."""
+    machine = Machine(known, 0.0, np.zeros(len(known)), np.zeros((len(known), 0)))
+
+    def placed(batches):
+        for batch in batches:
+            for low, high in T.slices(batch.column("text")):
+                place, borders = machine.places(*terms(batch.column("text").slice(low, high - low)))
+                sets = [place[a:b].astype(np.int32).tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
+                rest = [batch.column(c).slice(low, high - low) for c in ("doc_id", "label")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(sets, pa.binary())], ["doc_id", "label", "places"])
+
+    return placed
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """A machine trained on at most ``size`` labelled documents that aren't held out."""
+    """A machine trained on at most ``size`` labelled documents that aren't held out.
+
+    Terms are counted and chosen where the documents are; the driver gets the chosen ones' places in the sample.
+    """
     sample = stored(labelled_sample(labels.where(~held_out(id_col)), label_col, size, id_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).drop("label_id")
-    got = rows.mapInArrow(_sets, "doc_id long, label int, terms binary").toPandas()  # the bounded sample, as term sets
-    got = got.sort_values(["doc_id", "terms"]).drop_duplicates("doc_id")
-    sets = [np.frombuffer(t, np.uint64) for t in got.terms]
-    borders = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
-    return train(np.concatenate([*sets, np.zeros(0, np.uint64)]), borders, got.label.to_numpy(float))
+    known = _selected_terms(rows)
+    got = rows.mapInArrow(_placed(known), "doc_id long, label int, places binary").toPandas()
+    got = got.sort_values(["doc_id", "places"]).drop_duplicates("doc_id")
+    sets = [np.frombuffer(x, np.int32) for x in got.places]
+    borders = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
+    return train(known, np.concatenate([*sets, np.zeros(0, np.int32)]).astype(np.int64), borders, got.label.to_numpy(float))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
