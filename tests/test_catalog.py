@@ -9,19 +9,25 @@ import __spark_entry__ as contract
 
 TABLES = ("events", "orders", "lineitem")
 SAMPLE = (
+    "build_features",
     "clean",
     "cv_evaluate",
     "dq_report",
+    "dq_report_broken",
     "feat_holiday_distance",
     "features_daily",
+    "forecast_all",
     "forecast_next_month",
     "kpi_week",
     "lag_hourly_annual",
     "metric_horizon_segments",
+    "metric_nan",
     "residual_histogram",
     "resample_daily_first",
     "roll_720h",
+    "scan_csv_missing",
     "seasonal_decompose",
+    "unserved_series",
     "wx_horizon_fill",
 )
 
