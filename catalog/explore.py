@@ -49,15 +49,29 @@ def weather_demand_correlation(spark, sf_dir):
     return E.weather_demand_correlation(V.cleaned(spark, sf_dir))
 
 
-@query("acf", _HOURLY + """, centred AS (SELECT series_id, i, demand_mw - avg(demand_mw) OVER (PARTITION BY series_id) AS x FROM cleaned),
+_ACF_SQL = V.clean_sql() + """, centred AS (SELECT series_id, i, demand_mw - avg(demand_mw) OVER (PARTITION BY series_id) AS x FROM cleaned),
 total AS (SELECT series_id, sum(x * x) AS t FROM centred GROUP BY 1),
-pairs AS (SELECT a.series_id, a.i - b.i AS lag, sum(a.x * b.x) AS s FROM centred a JOIN centred b ON a.series_id = b.series_id AND a.i - b.i BETWEEN 0 AND 48 GROUP BY 1, 2)
-SELECT p.series_id, CAST(lag AS INTEGER) AS lag, s / t AS acf FROM pairs p JOIN total USING (series_id)""", "acf")
+pairs AS (SELECT a.series_id, a.i - b.i AS lag, sum(a.x * b.x) AS s FROM centred a JOIN centred b ON a.series_id = b.series_id AND a.i - b.i BETWEEN 0 AND 48 GROUP BY 1, 2),
+acf AS (SELECT p.series_id, CAST(lag AS INTEGER) AS lag, s / t AS acf FROM pairs p JOIN total USING (series_id))"""
+
+
+@query("acf", "WITH " + _ACF_SQL + " SELECT * FROM acf", "acf")
 def acf(spark, sf_dir):
     return E.acf(V.cleaned(spark, sf_dir))
 
 
-@query("pacf")
+# Durbin-Levinson: phi holds the coefficients of the order before, r the autocorrelations from lag 1 on.
+_PACF_SQL = "WITH RECURSIVE " + _ACF_SQL + """,
+lists AS (SELECT series_id, list(acf ORDER BY lag) FILTER (lag > 0) AS r FROM acf GROUP BY 1),
+steps AS (
+  SELECT series_id, r, 1 AS lag, [r[1]] AS phi, r[1] AS pacf FROM lists
+  UNION ALL
+  SELECT series_id, r, lag + 1, list_append(list_transform(generate_series(1, lag), lambda j: phi[j] - last * phi[lag - j + 1]), last), last
+  FROM (SELECT *, (r[lag + 1] - list_dot_product(phi, list_reverse(r[1:lag]))) / (1 - list_dot_product(phi, r[1:lag])) AS last FROM steps WHERE lag < 48))
+SELECT series_id, 0 AS lag, 1.0 AS pacf FROM lists UNION ALL SELECT series_id, lag, pacf FROM steps"""
+
+
+@query("pacf", _PACF_SQL, "pacf")
 def pacf(spark, sf_dir):
     return E.pacf(E.acf(V.cleaned(spark, sf_dir)))
 

@@ -99,11 +99,12 @@ def sink_csv(spark, sf_dir):
     return spark.read.option("header", True).schema(f"series_id string, {files.SERIES_SCHEMA}").csv(path)
 
 
-@query("sink_metrics_json")
+@query("sink_metrics_json", CV_SQL + " SELECT model, avg(mape) AS mape, avg(mae) AS mae, avg(rmse) AS rmse, avg(r2) AS r2, avg(wape) AS wape FROM results GROUP BY model", "mape mae rmse r2 wape")
 def sink_metrics_json(spark, sf_dir):
-    """Metrics per model over all series, as one JSON object."""
+    """Metrics per model over all series, written as one JSON object and read again."""
     path = reports.write_metrics_json(pooled_results(cv_results(spark, sf_dir)), scratch(spark))
-    return spark.read.text(path)
+    scores = F.from_json("value", "map<string, struct<mape: double, mae: double, rmse: double, r2: double, wape: double>>")
+    return spark.read.text(path).select(F.explode(scores).alias("model", "scores")).select("model", "scores.*")
 
 
 def _rounded_board(spark, sf_dir):
@@ -152,7 +153,16 @@ def scan_weather_payload(spark, sf_dir):
     return read_weather_payload(payloads, source="historical_reanalysis")
 
 
-@query("model_save_load")
+# Normal equations around the means, with the penalty 10 on the diagonal, solved for two features.
+_TWO_SQL = V.with_(V.clean_sql()) + """, sums AS (SELECT series_id, avg(temp_c) AS m1, avg(relative_humidity) AS m2, avg(demand_mw) AS my,
+  var_pop(temp_c) * count(*) + 10 AS s11, var_pop(relative_humidity) * count(*) + 10 AS s22, covar_pop(temp_c, relative_humidity) * count(*) AS s12,
+  covar_pop(temp_c, demand_mw) * count(*) AS b1, covar_pop(relative_humidity, demand_mw) * count(*) AS b2 FROM cleaned GROUP BY series_id),
+solved AS (SELECT *, (b1 * s22 - b2 * s12) / (s11 * s22 - s12 * s12) AS w1, (b2 * s11 - b1 * s12) / (s11 * s22 - s12 * s12) AS w2 FROM sums)
+SELECT c.series_id, datetime, demand_mw, temp_c, relative_humidity, my + w1 * (temp_c - m1) + w2 * (relative_humidity - m2) AS pred,
+  'Hourly Ridge Regression' AS model_name FROM cleaned c JOIN solved s ON c.series_id = s.series_id"""
+
+
+@query("model_save_load", _TWO_SQL, "demand_mw temp_c relative_humidity pred")
 def model_save_load(spark, sf_dir):
     """Ridge coefficients stored with their metadata, loaded and used."""
     features = ["temp_c", "relative_humidity"]
