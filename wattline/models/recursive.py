@@ -141,7 +141,8 @@ def recursive_ridge_forecast(
     fixed = [c for c in features if c not in terms]
     longest = max([k for _, k in terms.values()], default=1)
 
-    model = fitted.filter(F.col("fold") == ALL_ROWS).select(*by, "intercept", "coefficients")
+    # One row per series, used in two joins: stored, so that the fit runs once.
+    model = _checkpointed(fitted.filter(F.col("fold") == ALL_ROWS).select(*by, "intercept", "coefficients"))
     position = {c: i for i, c in enumerate(features)}
     by_name = [F.col("coefficients")[position[c]].alias(f"_w_{c}") for c in fixed]
     ahead = rows.filter(F.col(STEP).isNotNull()).join(model.select(*by, "intercept", *by_name), list(by))

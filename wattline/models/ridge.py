@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.functions.grid import step_of
 from wattline.names import BY, DEMAND, TIME
+from wattline.operators.chunks import CHUNK_COL, CHUNK_STEPS, chunk_of
 
 # Penalty of the hourly and the daily candidate.
 ALPHA = {"hour": 10.0, "day": 5.0}
 ALL_ROWS = 0  # fold number of the fit on all rows
 
-_SHARES = 8  # parts the rows of one series are joined in
 _HELD_GROUPS = 64  # matrices a task keeps before it hands them on
 
 
@@ -151,17 +152,18 @@ def predict_ridge(
 ) -> DataFrame:
     """Predictions of each row's own series; with a ``fold`` column also of its fold.
 
-    Coefficients are repeated a few times and joined on the series and a share of its
-    times, so that the rows of a hot series do not meet in one task.
+    Coefficients are repeated once per chunk of a series and joined on the series and the chunk, so
+    that a task joins the rows of a chunk at most, however long a series is.
     """
     if "fold" in df.columns:
         model = fitted.filter(F.col("fold") != ALL_ROWS)
         on = [*by, "fold"]
     else:
         model, on = fitted.filter(F.col("fold") == ALL_ROWS).drop("fold"), list(by)
-    spread = model.select(
-        *on, "intercept", "coefficients", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("_share")
+    chunk = chunk_of(step_of(F.col(time), "hour"), CHUNK_STEPS)
+    spans = df.groupBy(*by).agg(F.min(chunk).alias("_lo"), F.max(chunk).alias("_hi"))
+    spread = model.join(spans, list(by)).select(
+        *on, "intercept", "coefficients", F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).alias(CHUNK_COL)
     )
-    share = F.pmod(F.xxhash64(time), F.lit(_SHARES)).cast("int")
-    joined = df.withColumn("_share", share).join(spread, [*on, "_share"])
+    joined = df.withColumn(CHUNK_COL, chunk).join(spread, [*on, CHUNK_COL])
     return joined.select(*df.columns, linear_score(features).alias(output))
