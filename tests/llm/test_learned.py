@@ -173,3 +173,21 @@ def test_frequent_pairs_and_others_agree(corpus, monkeypatch):
         monkeypatch.setattr(lm, "FREQUENT", often)
         out.append({r.doc_id: r.score for r in lm.cross_entropy_difference(docs, labels).collect()})
     assert out[0] == pytest.approx(out[1], abs=1e-5)
+
+
+def test_all_labelled_rows_and_words_count(spark):
+    """More labelled documents than the samples of the classifiers have, and more words than 16 bits can number."""
+    n = quality.SAMPLE + 3_000
+    texts = [" ".join(f"w{i % 1500 * 50 + k}" for k in range(50)) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
+    good = lm.good_texts(docs, labels, "quality")
+    assert good.count() == n and len(lm.vocabulary(good).known) == 75_000
+    # All rows are target rows: both models are the same, so every score is exactly 0.
+    assert all(r.n_words == 50 and r.score == 0 for r in lm.cross_entropy_difference(docs, labels).collect())
+
+
+def test_good_texts_are_those_of_good_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "c d"), (1, "a b"), (1, "e f"), (2, "g h"), (3, "i"), (-4, "j")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 0), (None, 1), (3, None), (-4, 1)], "doc_id long, quality int")
+    assert sorted(r.text for r in lm.good_texts(docs, labels, "quality").collect()) == ["a b", "e f", "j"]

@@ -1,12 +1,14 @@
 """Cross-entropy difference of documents under two bigram models.
 
-The target model is counted on a bounded sample of documents labelled good, the background model on all documents.
-Both share one vocabulary: the most frequent words of the target sample, any other word
-being unknown. A word's probability is its share after the word before it, mixed with
+The target model is counted on all documents labelled good, the background model on all documents.
+Both share one vocabulary: every word that occurs in the target documents at least twice, any other word
+being unknown, as the method is defined. A word's probability is its share after the word before it, mixed with
 its share overall. A document's score is the mean over its words of target loss minus
 background loss: below zero, the target model expects it better.
 
-Word pairs travel packed in arrays. Counts are summed in each task and then by bucket of pairs. Pairs
+The vocabulary grows with the target documents; each task holds it, 8 bytes a word, and those that look
+up pairs its counts, 40 bytes a word. Word pairs have 64 bits and travel compressed in arrays.
+Texts of good documents come from a join by id; a bitmap of fixed size drops most others before it. Counts are summed in each task and then by bucket of pairs. Pairs
 that make up a 20,000th of all or more are at most 20,000; their values go to every task. The
 others are looked up where their bucket's counts are, so no pair can crowd a task, and
 come back as one partial sum per document and bucket.
@@ -23,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import text as T
-from wattline.llm.quality import SAMPLE, labelled_sample
 from wattline.llm.store import shuffle_partitions, stored
 
-VOCABULARY = 20_000
 LEAST = 2
 MIX = 0.7
 FREQUENT = 20_000
-_BLOCK_WORDS = 6_000_000
+_BLOCK_WORDS = 2_000_000
+_WORD = np.uint64(0xFFFFFFFF)
+_BITS, _BITS_A_ROW = 1 << 26, 1 << 15
 _TABLE, _ASK, _OWN = 0, 1, 2
 
 
@@ -45,17 +47,22 @@ class Words:
         return len(self.known) + 2
 
     def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each word with the one before it, packed in 32 bits, and the borders of the texts."""
+        """Each word with the one before it, packed in 64 bits, and the borders of the texts."""
         found = T.words(texts)
-        number = np.zeros(len(found.hashes), np.uint32)
+        number = np.zeros(len(found.hashes), np.uint64)
         if len(self.known):
             place = np.minimum(np.searchsorted(self.known, found.hashes), len(self.known) - 1)
-            number = np.where(self.known[place] == found.hashes, place + 1, 0).astype(np.uint32)
+            number = np.where(self.known[place] == found.hashes, place + 1, 0).astype(np.uint64)
         before = np.zeros_like(number)
         before[1:] = number[:-1]
         starts = found.first[:-1]
         before[starts[starts < found.first[1:]]] = self.size - 1
-        return (before << np.uint32(16)) | number, found.first
+        return (before << np.uint64(32)) | number, found.first
+
+
+def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before and the word of each pair."""
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & _WORD).astype(np.int64)
 
 
 @dataclass
@@ -69,7 +76,7 @@ class Model:
 
     def difference(self, keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> np.ndarray:
         """Target loss minus background loss of each pair, given its counts."""
-        prior, word = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
+        prior, word = _split(keys)
         loss = []
         for side, count in enumerate((target, background)):
             total = self.single[side].sum()
@@ -94,13 +101,57 @@ def _word_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> Words:
-    """The ``size`` most frequent words (by hash) of a column of texts that occur at least ``LEAST`` times."""
-    if size > 65_000:
-        raise ValueError("word numbers have 16 bits")
-    counted = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    top = counted.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()
-    return Words(np.sort(top.word.to_numpy(np.int64).view(np.uint64)))
+def vocabulary(texts: DataFrame, least: int = LEAST) -> Words:
+    """All words (by hash) of a column of texts that occur at least ``least`` times."""
+    counted = texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return Words(np.sort(counted.select("word").toArrow()["word"].to_numpy().view(np.uint64)))
+
+
+def good_texts(rows: DataFrame, labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """The texts of ``rows`` whose id is labelled good; a repeated id has its least label.
+
+    A bitmap of hashed good ids, 8 MB however many there are, spares most other texts the way to the join.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(column).isNotNull())
+    once = known.groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min(F.col(column).cast("int")).alias("label"))
+    good = once.where("label = 1").select("label_id")
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS))
+    marked = good.select(spot("label_id").alias("spot"))
+    row = F.floor(F.col("spot") / _BITS_A_ROW).cast("int").alias("row")
+    bits = np.zeros((_BITS // _BITS_A_ROW, _BITS_A_ROW // 8), np.uint8)
+    for r in marked.groupBy(row).agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(_BITS_A_ROW))).alias("bits")).collect():  # 2,048 rows at most
+        bits[r.row] = np.frombuffer(bytes(r.bits), np.uint8)
+    bits = bits.ravel()
+
+    def possible(batches):
+        for batch in batches:
+            at = np.asarray(batch.column("spot"))
+            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    found = rows.where("doc_id is not null").select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(possible, "doc_id long, text string")
+    return found.join(good, F.col("doc_id") == F.col("label_id"), "left_semi").select("text")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers compressed byte place by byte place."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little") * np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed_steps(keys: np.ndarray) -> bytes:
+    """Numbers in ascending order, as their differences."""
+    return _packed(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def _unpacked_steps(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.cumsum(_unpacked(data, kind), dtype=kind)
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +160,7 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (T.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    return (T.mix(keys) % np.uint64(buckets)).astype(np.int32)
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,26 +174,27 @@ _COUNTS = "bucket int, keys binary, background binary, target binary"
 
 
 def _count(words: Words, buckets: int):
-    """Pair counts of a task, packed by bucket."""
+    """Pair counts of a task, packed by bucket; good rows count for the target only."""
 
     def flush(pieces):
         keys = np.concatenate([k for k, _ in pieces])
         good = np.concatenate([g for _, g in pieces])
         found, which = np.unique(keys, return_inverse=True)
-        background = np.bincount(which, minlength=len(found)).astype(np.uint32)
+        background = np.bincount(which[~good], minlength=len(found)).astype(np.uint32)
         target = np.bincount(which[good], minlength=len(found)).astype(np.uint32)
         order, borders = _dealt(found, buckets)
-        sides = [x[order] for x in (found, background, target)]
-        rows = [(b, *(x[borders[b] : borders[b + 1]].tobytes() for x in sides)) for b in range(buckets) if borders[b + 1] > borders[b]]
+        keys, *sides = (x[order] for x in (found, background, target))
+        parts = [(b, slice(borders[b], borders[b + 1])) for b in range(buckets) if borders[b + 1] > borders[b]]
+        rows = [(b, _packed_steps(keys[own]), *(_packed(x[own]) for x in sides)) for b, own in parts]
         yield _batch(rows, _COUNTS)
 
     def count(batches):
         pieces, size = [], 0
         for batch in batches:
-            texts, label = batch.column("text"), np.asarray(batch.column("label").fill_null(-1))
+            texts, good = batch.column("text"), np.asarray(batch.column("good"))
             for low, high in T.slices(texts):
                 keys, first = words.pairs(texts.slice(low, high - low))
-                pieces.append((keys, np.repeat(label[low:high] == 1, np.diff(first))))
+                pieces.append((keys, np.repeat(good[low:high] == 1, np.diff(first))))
                 size += len(keys)
                 if size > _BLOCK_WORDS:
                     yield from flush(pieces)
@@ -160,8 +212,12 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _arrays(table, names=("keys", "background", "target")) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table.column(n).to_pylist()), np.uint32) for n in names]
+def _arrays(table) -> list[np.ndarray]:
+    """Keys and counts of the rows, one after the other."""
+    rows = table.to_pylist()
+    keys = [_unpacked_steps(r["keys"]) for r in rows]
+    sides = ([_unpacked(r[n], np.uint32) for r in rows] for n in ("background", "target"))
+    return [np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in zip((np.uint64, np.uint32, np.uint32), (keys, *sides), strict=True)]
 
 
 def _merge(batches):
@@ -170,7 +226,7 @@ def _merge(batches):
         keys, background, target = _arrays(group)
         found, total = _summed(keys, background)
         _, good = _summed(keys, target)
-        yield _batch([(group.column("bucket")[0].as_py(), found.tobytes(), total.tobytes(), good.tobytes())], _COUNTS)
+        yield _batch([(group.column("bucket")[0].as_py(), _packed_steps(found), _packed(total), _packed(good))], _COUNTS)
 
 
 def _singles(size: int):
@@ -180,10 +236,13 @@ def _singles(size: int):
         out = np.zeros((4, size), np.int64)
         for batch in batches:
             keys, background, target = _arrays(batch)
-            for row, (part, weight) in enumerate(((keys & np.uint32(0xFFFF), target), (keys & np.uint32(0xFFFF), background), (keys >> np.uint32(16), target), (keys >> np.uint32(16), background))):
+            prior, word = _split(keys)
+            for row, (part, weight) in enumerate(((word, target), (word, background), (prior, target), (prior, background))):
                 out[row] += np.bincount(part, weight, size).astype(np.int64)
         seen = np.flatnonzero(out.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(x[seen]) for x in out)], ["word", "a", "b", "c", "d"])
+        for low in range(0, len(seen), 1 << 18):
+            some = seen[low : low + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in out)], ["word", "a", "b", "c", "d"])
 
     return singles
 
@@ -193,7 +252,8 @@ def _frequent(least: float):
         for batch in batches:
             keys, background, target = _arrays(batch)
             often = background >= least
-            yield pa.RecordBatch.from_arrays([pa.array(x[often].astype(np.int64)) for x in (keys, background, target)], ["k", "b", "t"])
+            columns = (keys[often].view(np.int64), background[often].astype(np.int64), target[often].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "b", "t"])
 
     return frequent
 
@@ -221,7 +281,7 @@ def _ask(words: Words, hot: np.ndarray, hot_value: np.ndarray, buckets: int):
         keys, owner = keys[order], owner[order]
         for b in np.flatnonzero(np.diff(borders)).tolist():
             docs, sizes = np.unique(owner[borders[b] : borders[b + 1]], return_counts=True)
-            rows.append((b, _ASK, block, keys[borders[b] : borders[b + 1]].tobytes(), docs.tobytes(), sizes.astype(np.int32).tobytes()))
+            rows.append((b, _ASK, block, _packed(keys[borders[b] : borders[b + 1]]), _packed_steps(docs), _packed(sizes.astype(np.int32))))
         for low in range(0, len(rows), 64):
             yield _batch(rows[low : low + 64], _ROWS)
 
@@ -247,20 +307,21 @@ def _look_up(model: Model):
     """Values of asked pairs from their bucket's counts, summed by document."""
 
     def look_up(batches):
-        known, value, of = np.zeros(0, np.uint32), np.zeros(0), None
+        known, value, of = np.zeros(0, np.uint64), np.zeros(0), None
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 rows = []
                 for r in batch.slice(low, 64).to_pylist():
                     if r["kind"] == _TABLE:
-                        known, background, target = (np.frombuffer(r[c], np.uint32) for c in "xyz")
+                        known = _unpacked_steps(r["x"])
+                        background, target = (_unpacked(r[c], np.uint32) for c in "yz")
                         value, of = model.difference(known, target, background), r["bucket"]
                     elif r["kind"] == _OWN:
                         rows.append((r["block"], _OWN, r["x"], r["y"], r["z"]))
                     else:
                         assert of == r["bucket"]
-                        keys = np.frombuffer(r["x"], np.uint32)
-                        sizes = np.frombuffer(r["z"], np.int32)
+                        keys = _unpacked(r["x"], np.uint64)
+                        sizes = _unpacked(r["z"], np.int32)
                         found = value[np.searchsorted(known, keys)]
                         sums = np.add.reduceat(found, np.cumsum(sizes) - sizes).astype(np.float32)
                         rows.append((r["block"], _ASK, r["y"], sums.tobytes(), b""))
@@ -277,37 +338,40 @@ def _finish(batches):
         words, total = np.frombuffer(own["y"], np.int64), np.frombuffer(own["z"], np.float64).copy()
         # Partial sums are added in order of their bytes, so that reruns agree to the last bit.
         for docs, sums in sorted((r["x"], r["y"]) for r in rows if r["kind"] == _ASK):
-            total[np.frombuffer(docs, np.int32)] += np.frombuffer(sums, np.float32)
+            total[_unpacked_steps(docs, np.int32)] += np.frombuffer(sums, np.float32)
         score = np.where(words > 0, total / np.maximum(words, 1), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array(ids, mask=marks < 0), pa.array(words), pa.array(score)], ["doc_id", "n_words", "score"])
 
 
 def cross_entropy_difference(
-    docs: DataFrame, labels: DataFrame, label_col: str = "quality", size: int = SAMPLE, words: int = VOCABULARY, mix: float = MIX, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", least: int = LEAST, mix: float = MIX, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: ``doc_id, n_words, score``.
 
-    ``size`` bounds the labelled documents whose label is used. Null and empty texts have no
+    Words that the target documents have fewer than ``least`` times are unknown. Null and empty texts have no
     words and score 0. Without target documents every word is unknown, and the target model knows no pair. Rows without an id are
     background like any other.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = stored(labelled_sample(labels, label_col, size, id_col))  # at most ``size`` rows, so broadcast
-    marked = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
-    good = rows.join(F.broadcast(sample.where("label = 1")), F.col("doc_id") == F.col("label_id"), "left_semi")
-    known = vocabulary(good.select("text"), words)
-    counted = marked.select("text", "label").mapInArrow(_count(known, buckets), _COUNTS)
+    good = good_texts(rows, labels, label_col, id_col)
+    known = vocabulary(good, least)
+    every = rows.select("text", F.lit(0).alias("good")).unionByName(good.withColumn("good", F.lit(1)))
+    counted = every.mapInArrow(_count(known, buckets), _COUNTS)
     tables = stored(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _COUNTS))
     sums = tables.mapInArrow(_singles(known.size), "word long, a long, b long, c long, d long").groupBy("word").agg(*[F.sum(c).alias(c) for c in "abcd"])
     single, before = np.zeros((2, known.size)), np.zeros((2, known.size))
-    for r in sums.collect():  # one row per word of the vocabulary at most
-        single[:, r.word], before[:, r.word] = (r.a, r.b), (r.c, r.d)
+    found = sums.toArrow()  # one row per word of the vocabulary at most
+    for out, names in ((single, "ab"), (before, "cd")):
+        for side, name in enumerate(names):
+            out[side, found["word"].to_numpy()] = found[name].to_numpy()
     model = Model(known, single, before, mix)
     least = max(single[1].sum() / FREQUENT, 1.0)
-    often = tables.mapInArrow(_frequent(least), "k long, b long, t long").toPandas().sort_values("k")  # FREQUENT rows at most
-    hot = often.k.to_numpy(np.int64).astype(np.uint32)
+    often = tables.mapInArrow(_frequent(least), "k long, b long, t long").toPandas()  # FREQUENT rows at most
+    hot = often.k.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hot)  # as unsigned numbers
+    hot, often = hot[order], often.iloc[order]
     value = model.difference(hot, often.t.to_numpy(float), often.b.to_numpy(float))
     asked = rows.mapInArrow(_ask(known, hot, value, buckets), _ROWS)
     counts = tables.select("bucket", F.lit(_TABLE).alias("kind"), F.lit(-1).cast("long").alias("block"), F.col("keys").alias("x"), F.col("background").alias("y"), F.col("target").alias("z"))
