@@ -227,17 +227,31 @@ def forecast_next_month_ridge(spark, sf_dir):
     return P.forecast_next_month(history, _ridge(spark, history, matrix, X.DAILY, 5.0, "day", 30, look), look, daily=True)
 
 
-@query("recursive_forecast_trees")
-def recursive_forecast_trees(spark, sf_dir):
-    """Three steps of a tree model, one job per step over all series."""
+def _trees(spark, sf_dir, freq, candidate, horizon):
+    """Recursive forecast of a tree candidate with its own rounds and the full matrix, one job per step over all series."""
     look = outlook(spark)
-    history = stored_history(spark, sf_dir)
-    spec = X.HOURLY.limited(24)
-    matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=spec, country="IN")
+    spec = X.HOURLY if freq == "hour" else X.DAILY
+    history = stored_history(spark, sf_dir, freq)
+    matrix = X.feature_matrix(history, look.holidays, freq=freq, spec=spec, country="IN")
     matrix = read_table(spark, write_table(matrix, scratch(spark)))
-    model = fit_trees(matrix, X.feature_columns(spec), CANDIDATES["hour"]["Hourly Trees (Default)"], rounds=4)
-    forecaster = P.model_forecaster(model, look, horizon=3, spec=spec)
-    return forecaster(history, P.future_weather(history, 3, look))
+    model = fit_trees(matrix, X.feature_columns(spec), CANDIDATES[freq][candidate])
+    forecaster = P.model_forecaster(model, look, horizon=horizon, freq=freq, spec=spec)
+    return forecaster(history, P.future_weather(history, horizon, look) if freq == "hour" else P.daily_future(history, look))
+
+
+@query("recursive_forecast_trees")
+def recursive_forecast_trees(spark, sf_dir):
+    return _trees(spark, sf_dir, "hour", "Hourly Trees (Default)", 24)
+
+
+@query("recursive_forecast_trees_week")
+def recursive_forecast_trees_week(spark, sf_dir):
+    return _trees(spark, sf_dir, "hour", "Hourly Trees (Default)", 168)
+
+
+@query("recursive_forecast_trees_month")
+def recursive_forecast_trees_month(spark, sf_dir):
+    return _trees(spark, sf_dir, "day", "Daily Trees (Dedicated)", 30)
 
 
 _ALL_SQL = V.with_(V.readings_sql()) + """, ends AS (SELECT series_id, CAST(date_trunc('hour', max(datetime)) AS TIMESTAMP) AS hi FROM readings GROUP BY 1),
