@@ -121,10 +121,10 @@ def leaderboard(spark, sf_dir):
 
 @query("cv_evaluate_ridge")
 def cv_evaluate_ridge(spark, sf_dir):
-    """Naive and ridge on five 60-day folds of the daily matrix, all folds fitted in one job."""
+    """Naive, ridge and trees on five 60-day folds of the daily matrix; all ridge folds are fitted in one job."""
     matrix = stored(spark, daily_matrix(spark, sf_dir))
     features = X.feature_columns(DAILY_SPEC)
-    predictions = training.cv_predictions(matrix, features, freq="day", trees={})
+    predictions = training.cv_predictions(matrix, features, freq="day")
     return folding.fold_metrics(predictions)
 
 
@@ -204,10 +204,12 @@ def early_stopping(spark, sf_dir):
 def refit_champion(spark, sf_dir):
     """The daily champion, refitted on all rows."""
     matrix = stored(spark, daily_matrix(spark, sf_dir))
-    outcome = training.train(matrix, freq="day", trees={})
+    outcome = training.train(matrix, freq="day")
     if outcome.model is None:
         return predict_naive(matrix, "lag_7d").select("series_id", "datetime", "pred")
-    return predict_ridge(matrix, outcome.model, outcome.features).select("series_id", "datetime", "pred")
+    if outcome.champion == training.RIDGE["day"]:
+        return predict_ridge(matrix, outcome.model, outcome.features).select("series_id", "datetime", "pred")
+    return predict_trees(matrix, outcome.model).select("series_id", "datetime", "pred")
 
 
 @query("train_both_horizons")
@@ -216,7 +218,7 @@ def train_both_horizons(spark, sf_dir):
     path = scratch(spark)
     write_table(hourly_matrix(spark, sf_dir), f"{path}/features")
     write_table(daily_matrix(spark, sf_dir), f"{path}/features_daily")
-    return training.train_all(spark, path, hourly=dict(trees={}), daily=dict(trees={}))
+    return training.train_all(spark, path)
 
 
 @query("feature_importance_topk")
