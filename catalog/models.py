@@ -14,8 +14,6 @@ from wattline.operators import features as X
 from wattline.plans import training
 from wattline.sources.files import read_table, write_table
 
-# Boosting rounds of the registered hourly queries; the full candidates have 300 and 400. The daily ones are full.
-ROUNDS = 60
 DAILY_SPEC = X.DAILY
 
 _HOURLY = V.with_(V.clean_sql(V.MIXED_SQL))
@@ -179,7 +177,7 @@ def _trees(name: str, freq: str, candidate: str):
         spec = X.HOURLY if freq == "hour" else DAILY_SPEC
         matrix = stored(spark, hourly_matrix(spark, sf_dir) if freq == "hour" else daily_matrix(spark, sf_dir))
         features = X.feature_columns(spec)
-        model = fit_trees(matrix, features, CANDIDATES[freq][candidate], rounds=ROUNDS if freq == "hour" else None)
+        model = fit_trees(matrix, features, CANDIDATES[freq][candidate])
         return better_than_naive(predict_trees(matrix, model), "lag_168h" if freq == "hour" else "lag_7d")
 
 
@@ -195,7 +193,7 @@ def early_stopping(spark, sf_dir):
     blocks = folding.time_blocks(hourly_matrix(spark, sf_dir), freq="hour")
     marked = stored(spark, blocks.withColumn("_valid", F.col("block") == 5))
     trees = CANDIDATES["hour"]["Hourly Trees (Default)"]
-    model = fit_trees(marked, X.feature_columns(X.HOURLY), trees, rounds=ROUNDS, validation="_valid")
+    model = fit_trees(marked, X.feature_columns(X.HOURLY), trees, validation="_valid")
     scored = predict_trees(marked, model).filter("_valid")
     return scored.select("series_id", "datetime", "pred", F.lit(model.stages[-1].getNumTrees).alias("n_rounds"))
 

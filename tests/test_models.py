@@ -151,3 +151,22 @@ def test_queries_compare_and_refit_tree_candidates(spark, sf_dir, monkeypatch):
     seen.clear()
     board = {r["model"] for r in QUERIES["train_both_horizons"](spark, sf_dir).collect()}
     assert board == {*training.candidate_order("hour"), *training.candidate_order("day")} and seen == hour + day
+
+
+@pytest.mark.parametrize("name", ["model_gbt_default", "model_gbt_tuned", "model_gbt_depth5", "early_stopping"])
+def test_hourly_tree_queries_run_all_rounds(name, spark, sf_dir, monkeypatch):
+    from catalog import QUERIES
+    from catalog import models as queries
+    from wattline.models.trees import CANDIDATES
+
+    class Fitted(Exception):
+        pass
+
+    def fit(matrix, features, trees, **kwargs):
+        raise Fitted(trees in CANDIDATES["hour"].values() and kwargs.get("rounds") is None)
+
+    monkeypatch.setattr(queries, "stored", lambda spark, matrix: matrix)
+    monkeypatch.setattr(queries, "fit_trees", fit)
+    with pytest.raises(Fitted) as found:
+        QUERIES[name](spark, sf_dir)
+    assert found.value.args == (True,)
