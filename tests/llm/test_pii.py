@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from wattline.llm import pii
@@ -83,3 +84,9 @@ def test_long_runs_are_read_once():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" * 100_000, "1 " * 150_000):
         pii.candidates(text)
     assert time.time() - start < 60
+
+
+def test_addresses_of_letters_only_are_looked_at():
+    text = "from abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd today"
+    assert pii.candidates(text).patterns
+    assert pii._suspects(pa.array([text, "nothing here", None])).tolist() == [True, False, False]

@@ -225,10 +225,10 @@ def fit(counts: list[tuple[str, tuple[int, ...], int, int]]) -> Classifier:
 
 
 def _suspects(texts: pa.Array) -> np.ndarray:
-    """Rows whose text has a digit or an at sign, or an address spelled in brackets."""
+    """Rows whose text has a digit, an at sign or a colon, or an address spelled in brackets."""
     raw, borders = T.utf8(texts)
     mark = np.zeros(256, bool)
-    mark[[*range(48, 58), ord("@"), ord("["), ord("(")]] = True
+    mark[[*range(48, 58), ord("@"), ord("["), ord("("), ord(":")]] = True
     hits = np.concatenate(([0], np.cumsum(mark[raw])))
     return hits[borders[1:]] > hits[borders[:-1]]
 
