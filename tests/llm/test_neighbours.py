@@ -57,3 +57,22 @@ def test_rotation_keeps_lengths_and_fills_up():
     x = np.random.default_rng(2).normal(size=(20, 24))
     assert np.allclose((neighbours.rotate(x, 3) ** 2).sum(1), (x * x).sum(1))
     assert neighbours.rotate(x, 3).shape == (20, 32)
+
+
+def test_scaled_copies_and_repeated_ids_do_not_hide_neighbours(spark):
+    rng = np.random.default_rng(5)
+    v, far = rng.normal(size=8), rng.normal(size=(8, 8))
+    scaled = [(100 - k, (2.0**k * v).tolist()) for k in range(30)]
+    own = [(1, (v + 0.01 * rng.normal(size=8)).tolist()) for _ in range(12)]
+    repeated = [(2, (far[0] + 0.01 * rng.normal(size=8)).tolist()) for _ in range(12)]
+    others = [(10 + k, w.tolist()) for k, w in enumerate(far)]
+    for rows, query, want in (
+        ([(0, v.tolist()), *scaled], 0, [71, 72, 73, 74, 75]),
+        (own + others, 1, None),
+        (repeated + others, 10, None),
+    ):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = neighbours.nearest(frame, frame.where(f"vec_id = {query}").limit(1), tables=2, probes=16)
+        found = [r.vec_id for r in got.where("rank <= 5").orderBy("rank").collect()]
+        assert len(set(found)) == 5 and query not in found
+        assert want is None or found == want

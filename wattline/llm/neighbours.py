@@ -104,17 +104,28 @@ def _best(count: int, kind: str):
             own = [np.array(x, np.int64) for x in index.column("ids").to_pylist()]
             x, y = _matrix(index.column("v"), kind), _matrix(asking.column("v"), kind)
             sizes, queries = np.sqrt((x * x).sum(axis=1)), [q[0] for q in asking.column("ids").to_pylist()]
-            # A vector of the query's own id is no candidate, so one more is looked at.
-            some = min(len(x), count + 4)
             out = []
             for low in range(0, len(y), 256):
                 part = y[low : low + 256]
                 rough = (part @ x.T) / sizes
-                near = np.argpartition(-rough, some - 1, axis=1)[:, :some]
-                for i, places in enumerate(near):
-                    exact = (x[places] * part[i]).sum(axis=1) / (sizes[places] * np.sqrt((part[i] * part[i]).sum()))
-                    query = queries[low + i]
-                    found = sorted((-s, int(c)) for s, p in zip(exact.tolist(), places, strict=True) for c in own[p] if c != query)
+                for i, close in enumerate(rough):
+                    query, some = queries[low + i], count + 4
+                    while True:
+                        # All that tie with the last one looked at, within rounding, are looked at too.
+                        some = min(some, len(x))
+                        last = np.partition(close, len(x) - some)[len(x) - some]
+                        places = np.flatnonzero(close >= last - 1e-5 * np.sqrt((part[i] * part[i]).sum()))
+                        exact = (x[places] * part[i]).sum(axis=1) / (sizes[places] * np.sqrt((part[i] * part[i]).sum()))
+                        best = {}
+                        for score, p in zip(exact.tolist(), places, strict=True):
+                            for c in own[p].tolist():
+                                if c != query:
+                                    best[c] = max(score, best.get(c, -np.inf))
+                        # Repeated ids and the query's own may use up the places.
+                        if len(best) >= count or some == len(x):
+                            break
+                        some *= 4
+                    found = sorted((-score, c) for c, score in best.items())
                     out += [(query, c, -s) for s, c in found[:count]]
             if out:
                 a, b, s = zip(*out, strict=True)
