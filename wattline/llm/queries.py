@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wattline.llm import dedup, fingerprints, lm, mixing, neighbours, pieces, pii, quality, sharding, toxicity
+from wattline.llm import dedup, fingerprints, lm, mixing, neighbours, pieces, pii, quality, sharding, toxicity, whitening
 from wattline.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of the documents that all stages leave."""
