@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wattline.llm import dedup, fingerprints, lm, mixing, neighbours, pieces, pii, quality, secret_scan, sharding, toxicity, whitening
+from wattline.llm import audit, dedup, fingerprints, lm, mixing, neighbours, pieces, pii, quality, secret_scan, sharding, toxicity, whitening
 from wattline.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_source_audit", audit.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of sources and the terms that mark them."""
+    return audit.divergence(table(spark, sf_dir, "documents"))
+
+
 @query("op12_secret_scan", secret_scan.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
