@@ -30,7 +30,8 @@ from wattline.llm.store import shuffle_partitions, stored
 LEAST = 2
 MIX = 0.7
 FREQUENT = 20_000
-_BLOCK_WORDS = 2_000_000
+_BLOCK_WORDS = 500_000
+_HELD_WORDS = 250_000
 _WORD = np.uint64(0xFFFFFFFF)
 _BITS, _BITS_A_ROW = 1 << 26, 1 << 15
 _TABLE, _ASK, _OWN = 0, 1, 2
@@ -95,7 +96,7 @@ def _word_counts(batches):
             every = np.concatenate((hashes, found))
             hashes, which = np.unique(every, return_inverse=True)
             counts = np.bincount(which, np.concatenate((counts, np.ones(len(found), np.int64))), len(hashes)).astype(np.int64)
-            if len(hashes) > 1_000_000:
+            if len(hashes) > _HELD_WORDS:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "n"])
                 hashes, counts = hashes[:0], counts[:0]
     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "n"])
@@ -154,11 +155,6 @@ def _unpacked_steps(data: bytes, kind: type = np.uint64) -> np.ndarray:
     return np.cumsum(_unpacked(data, kind), dtype=kind)
 
 
-def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, which = np.unique(keys, return_inverse=True)
-    return found, np.bincount(which, weights, len(found)).astype(np.uint32)
-
-
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (T.mix(keys) % np.uint64(buckets)).astype(np.int32)
 
@@ -220,13 +216,26 @@ def _arrays(table) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in zip((np.uint64, np.uint32, np.uint32), (keys, *sides), strict=True)]
 
 
+def _merged(one: tuple, two: tuple) -> tuple:
+    """Counts of two sets of pairs added up."""
+    keys, which = np.unique(np.concatenate((one[0], two[0])), return_inverse=True)
+    sides = (np.bincount(which, np.concatenate((a, b)), len(keys)).astype(np.uint32) for a, b in zip(one[1:], two[1:], strict=True))
+    return keys, *sides
+
+
 def _merge(batches):
-    """All counts of a bucket in one row."""
+    """All counts of a bucket in one row. Rows are unpacked one by one and merged with what is no larger."""
     for group in T.runs(batches, ["bucket"]):
-        keys, background, target = _arrays(group)
-        found, total = _summed(keys, background)
-        _, good = _summed(keys, target)
-        yield _batch([(group.column("bucket")[0].as_py(), _packed_steps(found), _packed(total), _packed(good))], _COUNTS)
+        held: list[tuple] = []
+        for batch in group.to_batches(max_chunksize=16):
+            for low in range(batch.num_rows):
+                held.append(tuple(_arrays(batch.slice(low, 1))))
+                while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
+                    held.append(_merged(held.pop(), held.pop()))
+        while len(held) > 1:
+            held.append(_merged(held.pop(), held.pop()))
+        keys, total, good = held[0]
+        yield _batch([(group.column("bucket")[0].as_py(), _packed_steps(keys), _packed(total), _packed(good))], _COUNTS)
 
 
 def _singles(size: int):
@@ -277,11 +286,14 @@ def _ask(words: Words, hot: np.ndarray, hot_value: np.ndarray, buckets: int):
             own = np.bincount(owner[often], hot_value[place[often]], len(ids))
             keys, owner = keys[~often], owner[~often]
         rows = [(block % buckets, _OWN, block, np.where(no_id, -1, 1).astype(np.int64).tobytes() + ids.tobytes(), counts.astype(np.int64).tobytes(), own.tobytes())]
+        # In order of the pairs, whose differences are small numbers; the document goes along with each.
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
         order, borders = _dealt(keys, buckets)
         keys, owner = keys[order], owner[order]
         for b in np.flatnonzero(np.diff(borders)).tolist():
-            docs, sizes = np.unique(owner[borders[b] : borders[b + 1]], return_counts=True)
-            rows.append((b, _ASK, block, _packed(keys[borders[b] : borders[b + 1]]), _packed_steps(docs), _packed(sizes.astype(np.int32))))
+            own = slice(borders[b], borders[b + 1])
+            rows.append((b, _ASK, block, _packed_steps(keys[own]), _packed(owner[own]), b""))
         for low in range(0, len(rows), 64):
             yield _batch(rows[low : low + 64], _ROWS)
 
@@ -320,11 +332,11 @@ def _look_up(model: Model):
                         rows.append((r["block"], _OWN, r["x"], r["y"], r["z"]))
                     else:
                         assert of == r["bucket"]
-                        keys = _unpacked(r["x"], np.uint64)
-                        sizes = _unpacked(r["z"], np.int32)
-                        found = value[np.searchsorted(known, keys)]
-                        sums = np.add.reduceat(found, np.cumsum(sizes) - sizes).astype(np.float32)
-                        rows.append((r["block"], _ASK, r["y"], sums.tobytes(), b""))
+                        found = value[np.searchsorted(known, _unpacked_steps(r["x"]))]
+                        owner = _unpacked(r["y"], np.int32)
+                        sums, asked = np.bincount(owner, found), np.bincount(owner)
+                        docs = np.flatnonzero(asked).astype(np.int32)
+                        rows.append((r["block"], _ASK, _packed_steps(docs), sums[docs].astype(np.float32).tobytes(), b""))
                 yield _batch(rows, "block long, kind int, x binary, y binary, z binary")
 
     return look_up
