@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from catalog import views as V
 from catalog.features import lag_sql
-from catalog.registry import query
+from catalog.registry import query, scratch
+from pyspark.sql import functions as F
 from wattline.operators import explore as E
+from wattline.operators import loess as L
+from wattline.sources.files import read_table, write_table
 
 _HOURLY = V.with_(V.clean_sql())
 _DAILY = V.with_(V.clean_sql(V.ORDERS_SQL, "day"))
@@ -88,3 +91,12 @@ SELECT t.series_id, datetime, demand_mw, trend, seasonal, demand_mw - trend - se
 FROM trended t JOIN seasons s ON t.series_id = s.series_id AND t.phase = s.phase""", "demand_mw trend seasonal resid")
 def seasonal_decompose(spark, sf_dir):
     return E.seasonal_decompose(V.cleaned(spark, sf_dir))
+
+
+@query("stl_decompose", _HOURLY + " SELECT series_id, datetime, demand_mw, true AS adds_up, true AS explains FROM cleaned", "demand_mw")
+def stl_decompose(spark, sf_dir):
+    """Loess decomposition: the parts add up to the value, and the remainder varies less than the value."""
+    parts = read_table(spark, write_table(L.stl_decompose(V.cleaned(spark, sf_dir)), scratch(spark)))
+    adds_up = F.abs(F.col("trend") + F.col("seasonal") + F.col("resid") - F.col("demand_mw")) < 1e-6
+    explains = parts.groupBy("series_id").agg((F.var_pop("resid") < F.var_pop("demand_mw")).alias("explains"))
+    return parts.join(explains, "series_id").select("series_id", "datetime", "demand_mw", adds_up.alias("adds_up"), "explains")

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from wattline.functions.uncertainty import HOURLY_UNCERTAINTY
 from wattline.models.recursive import seasonal_naive_forecast
 from wattline.models.ridge import fit_ridge
-from wattline.models.trees import CANDIDATES, fit_trees
+from wattline.models.boosting import binned_blocks, fit_forests
+from wattline.models.registry import published_models, publish_models
+from wattline.models.trees import CANDIDATES
 from wattline.operators import features as X
 from wattline.operators import horizon as H
 from wattline.operators import kpi as K
 from wattline.plans import forecasts as P
+from wattline.plans import training
 from wattline.sources.files import read_table, write_table
 
 
@@ -228,32 +231,86 @@ def forecast_next_month_ridge(spark, sf_dir):
 
 
 def _trees(spark, sf_dir, freq, candidate, horizon):
-    """Recursive forecast of a tree candidate with its own rounds and the full matrix, one job per step over all series."""
+    """Recursive forecast of a tree candidate with its own rounds and the full matrix, a forest per series."""
     look = outlook(spark)
     spec = X.HOURLY if freq == "hour" else X.DAILY
-    history = stored_history(spark, sf_dir, freq)
+    history = stored_history(spark, sf_dir, "mixed" if freq == "hour" else "day")
     matrix = X.feature_matrix(history, look.holidays, freq=freq, spec=spec, country="IN")
     matrix = read_table(spark, write_table(matrix, scratch(spark)))
-    model = fit_trees(matrix, X.feature_columns(spec), CANDIDATES[freq][candidate])
-    forecaster = P.model_forecaster(model, look, horizon=horizon, freq=freq, spec=spec)
-    return forecaster(history, P.future_weather(history, horizon, look) if freq == "hour" else P.daily_future(history, look))
+    features = X.feature_columns(spec)
+    forests = fit_forests(binned_blocks(matrix, features, freq=freq), {candidate: CANDIDATES[freq][candidate]})
+    forests = read_table(spark, write_table(forests, scratch(spark)))
+    forecaster = P.forest_forecaster(forests, features, look, horizon=horizon, freq=freq, spec=spec)
+    out = forecaster(history, P.future_weather(history, horizon, look) if freq == "hour" else P.daily_future(history, look))
+    # A sum of means of known values, give or take: far inside twice the largest value.
+    known = history.groupBy("series_id").agg(F.max("demand_mw").alias("most"))
+    sound = (F.col("forecast_mw") > 0) & (F.col("forecast_mw") < 2 * F.col("most"))
+    return out.join(known, "series_id").select("series_id", "scenario_id", "step", "datetime", sound.alias("sound"))
+
 
+def _steps_sql(source, unit, steps):
+    """Keys of the rows that a forecast of ``steps`` steps has."""
+    return V.with_(V.clean_sql(source, unit)) + f"""SELECT series_id, 0 AS scenario_id, step, CAST(hi + step * INTERVAL 1 {unit} AS TIMESTAMP) AS datetime, true AS sound
+FROM (SELECT series_id, max(datetime) AS hi FROM cleaned GROUP BY 1), (SELECT CAST(unnest(generate_series(1, {steps})) AS INTEGER) AS step)"""
 
-@query("recursive_forecast_trees")
+
+@query("recursive_forecast_trees", _steps_sql(V.MIXED_SQL, "hour", 24))
 def recursive_forecast_trees(spark, sf_dir):
     return _trees(spark, sf_dir, "hour", "Hourly Trees (Default)", 24)
 
 
-@query("recursive_forecast_trees_week")
+@query("recursive_forecast_trees_week", _steps_sql(V.MIXED_SQL, "hour", 168))
 def recursive_forecast_trees_week(spark, sf_dir):
     return _trees(spark, sf_dir, "hour", "Hourly Trees (Default)", 168)
 
 
-@query("recursive_forecast_trees_month")
+@query("recursive_forecast_trees_month", _steps_sql(V.ORDERS_SQL, "day", 30))
 def recursive_forecast_trees_month(spark, sf_dir):
     return _trees(spark, sf_dir, "day", "Daily Trees (Dedicated)", 30)
 
 
+# Champions of the serving queries; the fourth series has none.
+_SERVED = {"1-URGENT": training.NAIVE["day"], "2-HIGH": training.RIDGE["day"], "3-MEDIUM": "Daily Trees (Dedicated)", "5-LOW": training.NAIVE["day"]}
+_TOO_SHORT = "too short for the folds"
+
+
+def _published(spark, sf_dir):
+    """History, published models of different kinds, and the champion table that they were made from."""
+    history = stored_history(spark, sf_dir, "day")
+    matrix = X.feature_matrix(history, V.holidays(spark), freq="day", country="IN")
+    matrix = read_table(spark, write_table(matrix, scratch(spark)))
+    model = F.create_map(*[F.lit(x) for pair in _SERVED.items() for x in pair])[F.col("series_id")]
+    champions = history.select("series_id").distinct().withColumn("model", model)
+    champions = champions.withColumn("reason", F.when(F.col("model").isNull(), F.lit(_TOO_SHORT)))
+    features, path = X.feature_columns(X.DAILY), scratch(spark)
+    naive = champions.withColumn("model", F.lit(training.NAIVE["day"]))
+    publish_models(training.refit_each(matrix, naive, features, freq="day"), path, features=features, freq="day")
+    publish_models(training.refit_each(matrix, champions, features, freq="day"), path, features=features, freq="day")
+    return history, *published_models(spark, path), champions
+
+
+_ROUTE = "CASE series_id " + " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in _SERVED.items()) + " END"
+
+
+@query("forecast_champions", next_month_sql() + f"""SELECT series_id, step, datetime, {_ROUTE} AS model, true AS sound,
+  CASE WHEN {_ROUTE} = '{training.NAIVE["day"]}' THEN forecast_mw END AS naive_mw FROM month WHERE {_ROUTE} IS NOT NULL""", "naive_mw")
+def forecast_champions(spark, sf_dir):
+    """The monthly product from published models: every series by its own champion."""
+    history, models, row, _ = _published(spark, sf_dir)
+    look = outlook(spark)
+    forecaster = P.champion_forecaster(models, row["feature_columns"], look, horizon=30, freq="day")
+    out = P.forecast_next_month(history, forecaster, look, daily=True)
+    naive = F.when(F.col("model") == training.NAIVE["day"], F.col("forecast_mw"))
+    return out.select("series_id", "step", "datetime", "model", (F.col("forecast_mw") > 0).alias("sound"), naive.alias("naive_mw"))
+
+
+@query("unserved_champions", V.with_(V.ORDERS_SQL) + f"SELECT DISTINCT series_id, '{_TOO_SHORT}' AS reason, 2 AS version FROM readings WHERE {_ROUTE} IS NULL")
+def unserved_champions(spark, sf_dir):
+    """Series without a model, and why, in the newest of two published versions."""
+    history, models, row, champions = _published(spark, sf_dir)
+    return P.without_champion(history, models, champions).withColumn("version", F.lit(row["version"]).cast("int"))
+
+
 _ALL_SQL = V.with_(V.readings_sql()) + """, ends AS (SELECT series_id, CAST(date_trunc('hour', max(datetime)) AS TIMESTAMP) AS hi FROM readings GROUP BY 1),
 hours AS (SELECT series_id, hi + step * INTERVAL 1 HOUR AS datetime FROM ends, (SELECT unnest(generate_series(1, 168)) AS step))
 SELECT 'next_day' AS product, count(*) * 24 AS n_rows FROM ends

@@ -122,8 +122,8 @@ def mape_by_hour(spark, sf_dir):
     return M.mape_by_hour(residual_rows(spark, sf_dir))
 
 
-@query("mape_worst_best_hour", _BY_HOUR + """ SELECT series_id, arg_max(hour, mape) AS worst_hour, max(mape) AS worst_mape,
-  arg_min(hour, mape) AS best_hour, min(mape) AS best_mape FROM by_hour GROUP BY series_id""", "worst_mape best_mape")
+@query("mape_worst_best_hour", _BY_HOUR + """ SELECT series_id, arg_max(hour, (round(mape, 9), -hour)) AS worst_hour, max(mape) AS worst_mape,
+  arg_min(hour, (round(mape, 9), hour)) AS best_hour, min(mape) AS best_mape FROM by_hour GROUP BY series_id""", "worst_mape best_mape")
 def mape_worst_best_hour(spark, sf_dir):
     return M.worst_and_best_hour(M.mape_by_hour(residual_rows(spark, sf_dir)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from catalog import views as V
 from catalog.registry import query
 from pyspark.sql import functions as F
@@ -14,17 +16,39 @@ BOUNDS = Q.Bounds(min_demand_mw=0.5, max_demand_mw=200.0, min_temp_c=1.0, max_te
 _R = V.with_(V.readings_sql())
 
 
-@query("validate_schema", _R + "SELECT count(*) AS n_rows, true AS valid FROM readings")
+def _tables(spark, sf_dir):
+    """A good table, one without the target, one without both columns, and one whose times are texts."""
+    good = V.readings(spark, sf_dir)
+    return {
+        "readings": good,
+        "no target": good.drop("demand_mw"),
+        "orders": V.table(spark, sf_dir, "orders"),
+        "texts": good.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")),
+    }
+
+
+def _verdicts(spark, sf_dir):
+    reports = [Q.schema_report(df).withColumn("name", F.lit(name)) for name, df in _tables(spark, sf_dir).items()]
+    return reduce(lambda a, b: a.unionByName(b), reports)
+
+
+_VERDICT_SQL = _R + """, n AS (SELECT count(*) AS n_rows FROM readings), o AS (SELECT count(*) AS n_rows FROM orders), verdicts AS (
+  SELECT 'readings' AS name, n_rows, true AS valid, true AS timed, CAST(NULL AS VARCHAR) AS problem FROM n
+  UNION ALL SELECT 'no target', n_rows, false, true, 'data set is missing the target column ''demand_mw''' FROM n
+  UNION ALL SELECT 'orders', n_rows, false, false, 'data set has no time column ''datetime''' FROM o
+  UNION ALL SELECT 'texts', n_rows, true, false, '''datetime'' must be a timestamp column' FROM n)"""
+
+
+@query("validate_schema", _VERDICT_SQL + " SELECT name, n_rows, valid, problem FROM verdicts")
 def validate_schema(spark, sf_dir):
-    df = V.readings(spark, sf_dir)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(Q.validate_schema(df)).alias("valid"))
+    """Verdicts on good and bad tables."""
+    return _verdicts(spark, sf_dir).select("name", "n_rows", "valid", "problem")
 
 
-@query("dq_index_type", _R + "SELECT count(datetime) AS n_times FROM readings")
+@query("dq_index_type", _VERDICT_SQL + " SELECT name, n_rows, timed FROM verdicts")
 def dq_index_type(spark, sf_dir):
-    df = V.readings(spark, sf_dir)
-    Q.check_time_type(df)
-    return df.agg(F.count("datetime").alias("n_times"))
+    """Whether the time column of good and bad tables is a timestamp."""
+    return _verdicts(spark, sf_dir).select("name", "n_rows", "timed")
 
 
 @query("dq_extent", _R + "SELECT series_id, count(*) AS total_rows, min(datetime) AS start_time, max(datetime) AS end_time FROM readings GROUP BY series_id")
@@ -101,11 +125,17 @@ def dq_report(spark, sf_dir):
     )
 
 
-@query("clean_index_check", _R + "SELECT count(DISTINCT series_id) AS n_series FROM readings")
+@query("clean_index_check", _R + """SELECT 'readings' AS name, true AS accepted, count(DISTINCT series_id) AS n_series FROM readings
+UNION ALL SELECT 'texts', false, 0""")
 def clean_index_check(spark, sf_dir):
-    df = V.readings(spark, sf_dir)
-    C.check_time_column(df)
-    return df.agg(F.count_distinct("series_id").alias("n_series"))
+    """Series of a table that cleaning accepts, and of one that it refuses."""
+    tables = _tables(spark, sf_dir)
+    parts = []
+    for name in ("readings", "texts"):
+        accepted = C.has_time_column(tables[name])
+        grid = C.clean(tables[name]) if accepted else tables[name].limit(0)
+        parts.append(grid.agg(F.lit(name).alias("name"), F.lit(accepted).alias("accepted"), F.count_distinct("series_id").alias("n_series")))
+    return parts[0].unionByName(parts[1])
 
 
 _ALL = "SELECT series_id, datetime, demand_mw, temp_c, relative_humidity FROM"

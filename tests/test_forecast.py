@@ -212,29 +212,3 @@ def test_recursive_trees(spark, holidays):
     future = P.future_weather(history, 2, P.Outlook(holidays))
     got = recursive_model_forecast(history, future, model, holidays, spec=spec, horizon=2).orderBy("step").collect()
     assert len(got) == 2 and all(3000 < r["forecast_mw"] < 5000 for r in got)
-
-
-@pytest.mark.parametrize(("name", "freq", "steps"), [("", "hour", 24), ("_week", "hour", 168), ("_month", "day", 30)])
-def test_tree_queries_forecast_all_steps_with_the_whole_candidate(spark, sf_dir, monkeypatch, name, freq, steps):
-    from catalog import QUERIES
-    from catalog import forecasts as queries
-    from wattline.models.trees import CANDIDATES
-    from wattline.operators.features import DAILY
-
-    seen = {}
-
-    def fit(matrix, features, trees, **kwargs):
-        seen.update(features=features, trees=trees, kwargs=kwargs)
-        return "model"
-
-    def forecaster(model, outlook, *, horizon, **kwargs):
-        seen.update(horizon=horizon, spec=kwargs["spec"])
-        return lambda history, future: future
-
-    monkeypatch.setattr(queries, "fit_trees", fit)
-    monkeypatch.setattr(queries.P, "model_forecaster", forecaster)
-    future = QUERIES[f"recursive_forecast_trees{name}"](spark, sf_dir)
-    spec = HOURLY if freq == "hour" else DAILY
-    assert seen["features"] == feature_columns(spec) and seen["spec"] == spec and seen["horizon"] == steps
-    assert seen["trees"] in CANDIDATES[freq].values() and seen["kwargs"] == {}
-    assert {r["count"] for r in future.groupBy("series_id").count().collect()} == {steps}

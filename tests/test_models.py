@@ -124,49 +124,3 @@ def test_trees_and_registry(spark, tmp_path):
     assert meta["model_class"] == "RidgeCoefficients" and loaded.first()["coefficients"] == fitted.first()["coefficients"]
     with pytest.raises(FileNotFoundError):
         load_model(spark, str(tmp_path / "nothing"))
-
-
-def test_queries_compare_and_refit_tree_candidates(spark, sf_dir, monkeypatch):
-    """Trees that know the answer must be compared, win and be refitted."""
-    from catalog import QUERIES
-    from wattline.models.trees import CANDIDATES
-    from wattline.plans import training
-
-    seen, fitted = [], []
-
-    def perfect(blocks, features, trees, n_splits, *, rounds=None, early_stopping=True):
-        seen.append((trees, rounds))
-        return blocks.filter("block > 0").withColumn("pred", F.col("demand_mw")).withColumnRenamed("block", "fold")
-
-    def refit(matrix, features, trees, rounds=None):
-        fitted.append((trees, rounds))
-        return fit_trees(matrix, features, Trees(1, 1.0, 1))
-
-    monkeypatch.setattr(training, "cv_trees", perfect)
-    monkeypatch.setattr(training, "fit_trees", refit)
-    day, hour = ([(t, None) for t in CANDIDATES[f].values()] for f in ("day", "hour"))
-    models = {r["model"] for r in QUERIES["cv_evaluate_ridge"](spark, sf_dir).select("model").distinct().collect()}
-    assert models == set(training.candidate_order("day")) and seen == day
-    assert QUERIES["refit_champion"](spark, sf_dir).filter("pred is not null").count() > 0 and fitted == day
-    seen.clear()
-    board = {r["model"] for r in QUERIES["train_both_horizons"](spark, sf_dir).collect()}
-    assert board == {*training.candidate_order("hour"), *training.candidate_order("day")} and seen == hour + day
-
-
-@pytest.mark.parametrize("name", ["model_gbt_default", "model_gbt_tuned", "model_gbt_depth5", "early_stopping"])
-def test_hourly_tree_queries_run_all_rounds(name, spark, sf_dir, monkeypatch):
-    from catalog import QUERIES
-    from catalog import models as queries
-    from wattline.models.trees import CANDIDATES
-
-    class Fitted(Exception):
-        pass
-
-    def fit(matrix, features, trees, **kwargs):
-        raise Fitted(trees in CANDIDATES["hour"].values() and kwargs.get("rounds") is None)
-
-    monkeypatch.setattr(queries, "stored", lambda spark, matrix: matrix)
-    monkeypatch.setattr(queries, "fit_trees", fit)
-    with pytest.raises(Fitted) as found:
-        QUERIES[name](spark, sf_dir)
-    assert found.value.args == (True,)

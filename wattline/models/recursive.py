@@ -1,9 +1,9 @@
 """Multi-step forecasts that feed predictions back as history.
 
 Series and scenarios are independent, so the recursion runs in parallel over them. For
-the linear model only the terms that depend on earlier predictions (short lags and
-rolling frames) are evaluated step by step, on arrays of a fixed length, many series at
-a time; everything else is computed by the ordinary feature operators beforehand.
+the linear model and for forests only the terms that depend on earlier predictions (short lags and
+rolling frames) are evaluated step by step, on arrays of a fixed length; everything else is
+computed by the ordinary feature operators beforehand, so a forecast is one job whatever its horizon.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.grid import step_of, time_of
+from wattline.models.boosting import Forest, fresh
 from wattline.models.ridge import ALL_ROWS
 from wattline.names import BY, DEMAND, SCENARIO, STEP, TIME
 from wattline.operators.chunks import CHUNK_STEPS
@@ -75,6 +76,32 @@ def autoregressive_terms(spec: FeatureSpec, horizon: int) -> dict[str, tuple[str
     return terms
 
 
+def _term(values: np.ndarray, now: int, kind: str, k: int) -> np.ndarray:
+    """One autoregressive feature of the step at ``now``, for many series or scenarios."""
+    if kind == "lag":
+        return values[:, now - k]
+    frame = values[:, now - k : now]
+    if kind == "std":
+        return frame.std(axis=1, ddof=1)
+    if kind in ("min", "max"):
+        return getattr(frame, kind)(axis=1)
+    mean = frame.mean(axis=1)
+    return values[:, now - 1] / (mean + 1e-5) if kind == "ratio" else mean
+
+
+def _roll_forest(past: np.ndarray, known: np.ndarray, forest: Forest, places: Sequence[int], terms: Sequence[tuple[str, int]]) -> np.ndarray:
+    """Predictions of all scenarios of a series; ``known`` is scenarios by steps by features."""
+    width, horizon = len(past), known.shape[1]
+    values = np.concatenate([np.broadcast_to(past, (len(known), width)), np.empty(known.shape[:2])], axis=1)
+    for h in range(horizon):
+        x = known[:, h]
+        for place, (kind, k) in zip(places, terms, strict=True):
+            x[:, place] = _term(values, width + h, kind, k)
+        score = np.maximum(forest.score(x), 0.0)
+        values[:, width + h] = np.where(np.isnan(x).any(axis=1), np.nan, score)
+    return values[:, width:]
+
+
 def _roll_forward(past: np.ndarray, known: np.ndarray, weights: np.ndarray, terms: Sequence[tuple[str, int]]) -> np.ndarray:
     """Predictions for a batch of series: rows are series, columns are steps."""
     width, horizon = past.shape[1], known.shape[1]
@@ -183,6 +210,65 @@ def recursive_ridge_forecast(
     return future.join(predicted, [*keys, STEP], "left").select(*future.columns, value.alias(FORECAST))
 
 
+def recursive_forest_forecast(
+    history: DataFrame,
+    future: DataFrame,
+    forests: DataFrame,
+    features: Sequence[str],
+    holidays: DataFrame,
+    *,
+    spec: FeatureSpec,
+    horizon: int,
+    country: str | None = None,
+    missing: float | None = None,
+    by: Sequence[str] = BY,
+    time: str = TIME,
+    chunk_steps: int = CHUNK_STEPS,
+) -> DataFrame:
+    """Forecast every future row with the forest of its series (``fit_forests``), floored at zero.
+
+    The fixed features of the whole horizon come from one feature matrix. A task holds the horizon of one
+    series, all scenarios together, and its forest. Gaps are treated as by ``recursive_ridge_forecast``.
+    """
+    keys = [*by, SCENARIO]
+    rows = feature_matrix(
+        _context(history, future, spec, by, time, chunk_steps),
+        holidays,
+        freq=spec.freq,
+        spec=any_length(spec),
+        country=country,
+        drop_na=False,
+        by=keys,
+        time=time,
+        chunk_steps=chunk_steps,
+    )
+    rows = require_features(without_annual_gaps(rows, spec), features, missing)
+    terms = {n: t for n, t in autoregressive_terms(spec, horizon).items() if n in features}
+    places, kinds = [list(features).index(n) for n in terms], list(terms.values())
+    longest = max([k for _, k in kinds], default=1)
+    names, on = list(features), list(by)
+    blank = [F.lit(0.0).alias(c) if c in terms else F.col(c).cast("double").alias(c) for c in names]
+    ahead = rows.filter(F.col(STEP).isNotNull()).select(*keys, F.col(STEP).cast("int").alias(STEP), *blank)
+    recent = history_tail(history, longest, freq=spec.freq, by=by, time=time, chunk_steps=chunk_steps)
+    past = recent.groupBy(*by).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(time, DEMAND))), lambda x: x[DEMAND]).alias("_past")
+    )
+    model = fresh(forests.drop("n_rows").join(past, on))
+
+    def roll(ahead: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = ahead[[*keys, STEP]].sort_values([SCENARIO, STEP])
+        past = np.asarray(model["_past"].iloc[0], float) if len(model) else np.zeros(0)
+        if len(past) != longest or np.isnan(past).any() or len(out) % horizon or not len(out):
+            return out.iloc[:0].assign(**{FORECAST: np.zeros(0)})
+        known = ahead.sort_values([SCENARIO, STEP])[names].to_numpy(float).reshape(-1, horizon, len(names))
+        return out.assign(**{FORECAST: _roll_forest(past, known, Forest.of(model.iloc[0]), places, kinds).ravel()})
+
+    schema = T.StructType([*[f for f in ahead.schema if f.name in (*keys, STEP)], T.StructField(FORECAST, T.DoubleType())])
+    predicted = ahead.groupBy(*on).cogroup(model.groupBy(*on)).applyInPandas(roll, schema)
+    value = F.when(~F.isnan(FORECAST), F.col(FORECAST))
+    return future.join(predicted, [*keys, STEP], "left").select(*future.columns, value.alias(FORECAST))
+
+
 def unserved(history: DataFrame, spec: FeatureSpec, horizon: int, *, by: Sequence[str] = BY, time: str = TIME) -> DataFrame:
     """Series that a recursive model can't forecast: ``n_rows`` and the ``reason``."""
     longest = max(k for _, k in autoregressive_terms(spec, horizon).values())

@@ -1,7 +1,7 @@
-"""Gradient-boosted tree candidates on Spark ML.
+"""Gradient-boosted tree candidates, and one model over all series on Spark ML.
 
-One model is fitted over the rows of all series; the work of a fit is spread over the
-cluster by row, so no series has to fit into a task.
+The candidates are fitted per series by ``boosting``. The functions here fit one model over the rows of
+all series; the work is spread over the cluster by row, so no series has to fit into a task.
 """
 
 from __future__ import annotations
@@ -30,16 +30,19 @@ class Trees:
     feature_share: str = "all"
     row_share: float = 1.0
     patience: int = 0
+    #: Leaves of a tree that grows best first, without a limit to its depth; none: all leaves down to ``max_depth``.
+    leaves: int | None = None
+    l2: float = 0.0
 
 
-# Rounds, learning rate, depth, smallest leaf, sampling and patience per candidate.
+# Rounds, learning rate, depth, smallest leaf, sampling, patience, leaves and penalty per candidate.
 CANDIDATES = {
     "hour": {
-        "Hourly Trees (Default)": Trees(300, 0.05, 5, 20, patience=30),
-        "Hourly Trees (Tuned)": Trees(400, 0.04, 6, 15, "0.8", 0.8, patience=30),
-        "Hourly Trees (Depth 5)": Trees(300, 0.04, 5, 1, "0.8", 0.8),
+        "Hourly Trees (Default)": Trees(300, 0.05, 5, 20, patience=30, leaves=31),
+        "Hourly Trees (Tuned)": Trees(400, 0.04, 6, 15, "0.8", 0.8, patience=30, leaves=45),
+        "Hourly Trees (Depth 5)": Trees(300, 0.04, 5, 1, "0.8", 0.8, l2=1.0),
     },
-    "day": {"Daily Trees (Dedicated)": Trees(250, 0.03, 5, 10, "0.85", 0.85, patience=25)},
+    "day": {"Daily Trees (Dedicated)": Trees(250, 0.03, 5, 10, "0.85", 0.85, patience=25, leaves=25)},
 }
 
 

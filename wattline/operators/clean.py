@@ -29,10 +29,15 @@ QUANTILE_FENCES = (0.001, 0.999)
 FFILL_LIMIT = 4
 
 
+def has_time_column(df: DataFrame, time: str = TIME) -> bool:
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    return isinstance(fields.get(time), (T.TimestampNTZType, T.TimestampType))
+
+
 def check_time_column(df: DataFrame, time: str = TIME) -> None:
     """Raise unless ``time`` is a timestamp column."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    if not isinstance(fields.get(time), (T.TimestampNTZType, T.TimestampType)):
+    if not has_time_column(df, time):
         raise ValueError(f"input needs a timestamp column {time!r}, found {fields.get(time)}")
 
 

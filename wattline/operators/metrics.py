@@ -150,10 +150,13 @@ def mape_by_hour(df: DataFrame, by: Sequence[str] = BY, time: str = TIME) -> Dat
 
 
 def worst_and_best_hour(hourly: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Hours with the largest and smallest error; the earliest hour wins ties."""
-    known = F.col("mape").isNotNull()
-    worst = F.max_by("hour", F.when(known, F.struct("mape", -F.col("hour"))))
-    best = F.min_by("hour", F.when(known, F.struct("mape", "hour")))
+    """Hours with the largest and smallest error; the earliest hour wins ties.
+
+    Errors that agree in nine decimals are equal: means of the same numbers differ in the last bits.
+    """
+    known, error = F.col("mape").isNotNull(), F.round("mape", 9).alias("mape")
+    worst = F.max_by("hour", F.when(known, F.struct(error, -F.col("hour"))))
+    best = F.min_by("hour", F.when(known, F.struct(error, "hour")))
     return hourly.groupBy(*by).agg(
         worst.alias("worst_hour"),
         F.max("mape").alias("worst_mape"),

@@ -43,6 +43,22 @@ def validate_schema(df: DataFrame, time: str = TIME, target: str = DEMAND) -> bo
     return True
 
 
+def schema_report(df: DataFrame, time: str = TIME, target: str = DEMAND) -> DataFrame:
+    """One row: number of rows, whether the schema is valid, its time column a timestamp, and the problem if not."""
+    try:
+        validate_schema(df, time, target)
+        check_time_type(df, time)
+        problem = None
+    except ValueError as error:  # a wrong type is one too
+        problem = str(error)
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(time in df.columns and target in df.columns).alias("valid"),
+        F.lit(_is_time(df, time)).alias("timed"),
+        F.lit(problem).cast("string").alias("problem"),
+    )
+
+
 def check_time_type(df: DataFrame, time: str = TIME) -> None:
     if not _is_time(df, time):
         raise DataQualityError(f"{time!r} must be a timestamp column")

@@ -14,10 +14,12 @@ from wattline.functions.uncertainty import DAILY_UNCERTAINTY, HOURLY_UNCERTAINTY
 from wattline.functions.weather import Climatology
 from wattline.models.recursive import (
     FORECAST,
+    recursive_forest_forecast,
     recursive_model_forecast,
     recursive_ridge_forecast,
     seasonal_naive_forecast,
 )
+from wattline.models.ridge import ALL_ROWS
 from wattline.names import BY, HORIZONS, HUMIDITY, SCENARIO, STEP, TEMP, TIME, WEATHER_SOURCE
 from wattline.operators.features import SPECS, FeatureSpec
 from wattline.operators.horizon import add_scenarios, future_grid, weather_for_horizon
@@ -74,6 +76,78 @@ def ridge_forecaster(
     )
 
 
+def forest_forecaster(
+    forests: DataFrame,
+    features: Sequence[str],
+    outlook: Outlook,
+    *,
+    horizon: int,
+    freq: str = "hour",
+    spec: FeatureSpec | None = None,
+    by: Sequence[str] = BY,
+) -> Forecaster:
+    return lambda history, future: recursive_forest_forecast(
+        history,
+        future,
+        forests,
+        features,
+        outlook.holidays,
+        spec=spec or SPECS[freq],
+        horizon=horizon,
+        country=outlook.country,
+        by=by,
+    )
+
+
+def champion_forecaster(
+    models: DataFrame,
+    features: Sequence[str],
+    outlook: Outlook,
+    *,
+    horizon: int,
+    freq: str = "hour",
+    spec: FeatureSpec | None = None,
+    by: Sequence[str] = BY,
+) -> Forecaster:
+    """Each series by its own published model (``published_models``): naive, ridge or forest.
+
+    Adds the ``model`` of the series. Series without one have no rows; ``without_champion`` lists them.
+    """
+    kinds = {r["kind"] for r in models.select("kind").distinct().collect()}
+    options = dict(horizon=horizon, freq=freq, spec=spec, by=by)
+
+    def forecaster(kind: str, own: DataFrame) -> Forecaster:
+        if kind == "naive":
+            return naive_forecaster(freq, by)
+        if kind == "ridge":
+            return ridge_forecaster(own.withColumn("fold", F.lit(ALL_ROWS)), features, outlook, **options)
+        return forest_forecaster(own.select(*by, "forest.*"), features, outlook, **options)
+
+    def forecast(history: DataFrame, future: DataFrame) -> DataFrame:
+        out = None
+        for kind in sorted(kinds):
+            own = models.filter(F.col("kind") == kind)
+            names = own.select(*by, "model")
+            mine = [df.join(names, list(by), "left_semi") for df in (history, future)]
+            part = forecaster(kind, own)(*mine).join(names, list(by))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            none = {FORECAST: F.lit(None).cast("double"), "model": F.lit(None).cast("string")}
+            return future.limit(0).withColumns(none)
+        return out.select(*future.columns, FORECAST, "model")
+
+    return forecast
+
+
+def without_champion(history: DataFrame, models: DataFrame, champions: DataFrame | None = None, by: Sequence[str] = BY) -> DataFrame:
+    """Series of ``history`` that no model serves and the ``reason``, as ``champions`` gives it."""
+    series = history.select(*by).distinct().join(models.select(*by), list(by), "left_anti")
+    unknown = F.lit("not in the training table")
+    if champions is None:
+        return series.withColumn("reason", unknown)
+    return series.join(champions.select(*by, "reason"), list(by), "left").withColumn("reason", F.coalesce("reason", unknown))
+
+
 def model_forecaster(
     model: PipelineModel,
     outlook: Outlook,
@@ -83,7 +157,7 @@ def model_forecaster(
     spec: FeatureSpec | None = None,
     by: Sequence[str] = BY,
 ) -> Forecaster:
-    """For tree models: one job per step, over all series at once."""
+    """For any Spark ML model over all series: one job per step."""
     return lambda history, future: recursive_model_forecast(
         history,
         future,
@@ -230,14 +304,17 @@ def forecast_all(
 
 __all__ = [
     "Outlook",
+    "champion_forecaster",
     "constant_forecaster",
     "daily_future",
     "forecast_all",
     "forecast_next_day",
     "forecast_next_month",
     "forecast_next_week",
+    "forest_forecaster",
     "future_weather",
     "model_forecaster",
     "naive_forecaster",
     "ridge_forecaster",
+    "without_champion",
 ]

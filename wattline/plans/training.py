@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.models import folds as folding
 from wattline.models.naive import SEASONAL_COLUMN, predict_naive
-from wattline.models.registry import save_model
-from wattline.models.ridge import ALPHA, fit_ridge, predict_ridge
-from wattline.models.trees import CANDIDATES, Trees, cv_trees, fit_trees
+from wattline.models.boosting import FOREST, binned_blocks, cv_forests, fit_forests, predict_forests
+from wattline.models.registry import publish_models, save_model
+from wattline.models.ridge import ALL_ROWS, ALPHA, fit_ridge, predict_ridge
+from wattline.models.trees import CANDIDATES, Trees
 from wattline.names import BY, DEMAND, SERIES, TIME
 from wattline.sources.files import checkpoint_folder, read_table, write_table
 
@@ -28,15 +28,17 @@ class Training:
     """Outcome of one product line.
 
     ``champions`` has the best candidate of each series, and for series too short for
-    the folds no candidate but the ``reason``.
+    the folds no candidate but the ``reason``. ``models`` has each series' own champion, refitted; ``model``
+    is the candidate that is best over all, refitted for every series.
     """
 
     freq: str
     features: list[str]
     results: DataFrame
     champion: str
-    model: PipelineModel | DataFrame | None
+    model: DataFrame | None
     champions: DataFrame
+    models: DataFrame
 
 
 def candidate_order(freq: str, trees: Mapping[str, Trees] | None = None) -> list[str]:
@@ -70,9 +72,12 @@ def cv_predictions(
         NAIVE[freq]: predict_naive(valid, SEASONAL_COLUMN[freq]),
         RIDGE[freq]: predict_ridge(valid, fitted, features, by=by),
     }
-    for name, settings in (CANDIDATES[freq] if trees is None else trees).items():
-        scored[name] = cv_trees(blocks, features, settings, n_splits, rounds=rounds, early_stopping=settings.patience > 0)
-    out = None
+    candidates = CANDIDATES[freq] if trees is None else trees
+    if candidates:
+        # One job for all candidates and folds.
+        binned = binned_blocks(blocks, features, freq=freq, by=by, time=time, block="block")
+        forests = cv_forests(binned, candidates, range(1, n_splits + 1), freq=freq, rounds=rounds, by=by, time=time)
+    out = forests.select(*by, time, "fold", "model", DEMAND, "pred") if candidates else None
     for name, df in scored.items():
         part = df.select(*by, time, "fold", F.lit(name).alias("model"), DEMAND, "pred")
         out = part if out is None else out.unionByName(part)
@@ -101,14 +106,75 @@ def refit(
     trees: Mapping[str, Trees] | None = None,
     rounds: int | None = None,
     by: Sequence[str] = BY,
-) -> PipelineModel | DataFrame | None:
-    """Fit the named candidate on all rows; the naive model has nothing to fit."""
+    time: str = TIME,
+) -> DataFrame | None:
+    """Fit the named candidate on all rows, one model per series; the naive model has nothing to fit."""
     if champion == NAIVE[freq]:
         return None
     if champion == RIDGE[freq]:
         return fit_ridge(matrix, features, alpha or ALPHA[freq], by=by)
     settings = (CANDIDATES[freq] if trees is None else trees)[champion]
-    return fit_trees(matrix, features, settings, rounds=rounds)
+    binned = binned_blocks(matrix, features, freq=freq, by=by, time=time)
+    return fit_forests(binned, {champion: settings}, rounds=rounds, by=by).drop("model")
+
+
+def refit_each(
+    matrix: DataFrame,
+    champions: DataFrame,
+    features: Sequence[str],
+    *,
+    freq: str,
+    alpha: float | None = None,
+    trees: Mapping[str, Trees] | None = None,
+    rounds: int | None = None,
+    by: Sequence[str] = BY,
+    time: str = TIME,
+) -> DataFrame:
+    """Every series' own champion (``champions``: keys, ``model``), fitted on all its rows.
+
+    One row per series: ``model``, ``kind`` (naive, ridge or forest), and what that kind needs to predict.
+    """
+    candidates = CANDIDATES[freq] if trees is None else trees
+    own = champions.filter(F.col("model").isNotNull()).select(*by, "model")
+    used = {r["model"] for r in own.select("model").distinct().collect()}  # names of candidates
+    strange = used - {NAIVE[freq], RIDGE[freq], *candidates}
+    if strange:
+        raise ValueError(f"unknown candidates: {sorted(strange)}")
+    empty = {"intercept": "double", "coefficients": "array<double>", "forest": f"struct<{FOREST.replace(' ', ':').replace(',:', ',')}>", "n_rows": "long"}
+
+    def packed(df: DataFrame, kind: str, **filled) -> DataFrame:
+        columns = [filled.get(c, F.lit(None)).cast(t).alias(c) for c, t in empty.items()]
+        return df.select(*by, "model", F.lit(kind).alias("kind"), *columns)
+
+    parts = [packed(own.filter(F.col("model") == NAIVE[freq]), "naive")]
+    if RIDGE[freq] in used:
+        mine = own.filter(F.col("model") == RIDGE[freq])
+        fitted = fit_ridge(matrix.join(mine, list(by), "left_semi"), features, alpha or ALPHA[freq], by=by)
+        fitted = fitted.filter(F.col("fold") == ALL_ROWS).withColumn("model", F.lit(RIDGE[freq]))
+        parts.append(packed(fitted, "ridge", **{c: F.col(c) for c in ("intercept", "coefficients", "n_rows")}))
+    chosen = {m: t for m, t in candidates.items() if m in used}
+    if chosen:
+        mine = own.filter(F.col("model").isin(list(chosen)))
+        binned = binned_blocks(matrix.join(mine, list(by), "left_semi"), features, freq=freq, by=by, time=time)
+        forests = fit_forests(binned, chosen, which=mine, rounds=rounds, by=by)
+        whole = F.struct(*[c.split()[0] for c in FOREST.split(", ")])
+        parts.append(packed(forests, "forest", forest=whole, n_rows=F.col("n_rows")))
+    return folding.leaderboard(*parts)
+
+
+def predict_each(
+    matrix: DataFrame, models: DataFrame, features: Sequence[str], *, freq: str, by: Sequence[str] = BY, time: str = TIME
+) -> DataFrame:
+    """Predictions of the rows of every series that has a model, by that model."""
+    ridge = models.filter(F.col("kind") == "ridge").withColumn("fold", F.lit(ALL_ROWS))
+    forests = models.filter(F.col("kind") == "forest").select(*by, "forest.*")
+    naive = matrix.join(models.filter(F.col("kind") == "naive"), list(by), "left_semi")
+    parts = [
+        predict_naive(naive, SEASONAL_COLUMN[freq]),
+        predict_ridge(matrix, ridge, features, by=by, time=time),
+        predict_forests(matrix, forests, features, freq=freq, by=by, time=time),
+    ]
+    return folding.leaderboard(*(p.select(*matrix.columns, "pred") for p in parts))
 
 
 def train(matrix: DataFrame, *, freq: str, by: Sequence[str] = BY, time: str = TIME, **kwargs) -> Training:
@@ -126,8 +192,11 @@ def train(matrix: DataFrame, *, freq: str, by: Sequence[str] = BY, time: str = T
     sizes = {k: v for k, v in kwargs.items() if k in ("n_splits", "test_size")}
     short = folding.unserved(matrix, freq=freq, by=by, **sizes).drop("n_rows")
     champions = folding.leaderboard(folding.select_champion(results, order, by=by), short)
-    model = refit(matrix, best["model"], features, freq=freq, by=by, **options)
-    return Training(freq, features, overall, best["model"], model, champions)
+    model = refit(matrix, best["model"], features, freq=freq, by=by, time=time, **options)
+    models = refit_each(matrix, champions, features, freq=freq, by=by, time=time, **options)
+    scores = results.select(*by, "model", F.struct(*folding.CV_METRICS).alias("scores"))
+    models = models.join(scores, [*by, "model"], "left")
+    return Training(freq, features, overall, best["model"], model, champions, models)
 
 
 def train_all(
@@ -138,13 +207,14 @@ def train_all(
     hourly: Mapping | None = None,
     daily: Mapping | None = None,
 ) -> DataFrame:
-    """Train both product lines from the stored matrices, save models and leaderboard."""
+    """Train both product lines from the stored matrices, publish models, save the best ones and the leaderboard."""
     outcomes = [
         train(read_table(spark, f"{path}/features"), freq="hour", by=by, **(hourly or {})),
         train(read_table(spark, f"{path}/features_daily"), freq="day", by=by, **(daily or {})),
     ]
     for outcome in outcomes:
         write_table(outcome.champions, f"{path}/champions_{outcome.freq}")
+        publish_models(outcome.models, f"{path}/models_{outcome.freq}", features=outcome.features, freq=outcome.freq)
         if outcome.model is not None:
             scores = {r["model"]: r.asDict() for r in outcome.results.collect()}  # one row per candidate
             save_model(
