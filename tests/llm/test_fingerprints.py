@@ -65,3 +65,44 @@ def test_block_tables_find_all_pairs(spark, radius):
     once = sorted(set(prints))
     want = {(f"{a:016x}", f"{b:016x}"): bin(a ^ b).count("1") for i, a in enumerate(once) for b in once[i + 1 :] if bin(a ^ b).count("1") <= radius}
     assert got == want and want
+
+
+def variants(seed, n=60):
+    rng = random.Random(seed)
+    prints = [rng.getrandbits(64) for _ in range(n)] + [0, (1 << 64) - 1]
+    for p in list(prints):
+        for _ in range(3):
+            for bit in rng.sample(range(64), rng.randrange(1, 6)):
+                p ^= 1 << bit
+            prints.append(p)
+    return prints + prints[:5]
+
+
+@pytest.mark.parametrize(("radius", "blocks", "part"), [(3, 5, 1024), (3, 5, 7), (1, 3, 1024), (3, 6, 50)])
+def test_near_counts_equal_all_pairs(spark, monkeypatch, radius, blocks, part):
+    monkeypatch.setattr(fingerprints, "PART", part)
+    shared = random.Random(9)
+    # Many that agree on the upper 40 bits: frequent block values, most of their pairs far apart.
+    prints = variants(radius) + [(0xABCDEF0123 << 24) | shared.getrandbits(24) for _ in range(120)]
+    rows = [(f"{p:016x}",) for p in prints] + [(None,)]
+    got = {r.bits & (2**64 - 1): r.n_near for r in fingerprints.near_counts(spark.createDataFrame(rows, "fingerprint string"), radius, blocks).collect()}
+    once = sorted(set(prints))
+    want = {a: sum(0 < (a ^ b).bit_count() <= radius for b in once) for a in once}
+    assert got == {a: n for a, n in want.items() if n} and got
+
+
+def test_query_counts_near_fingerprints_of_every_row(spark, sf_dir):
+    from wattline.llm.queries import QUERIES
+
+    rows = QUERIES["op7_simhash"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    once = {int(r.fingerprint, 16) for r in rows}
+    assert all(r.n_near == sum(0 < (int(r.fingerprint, 16) ^ b).bit_count() <= 3 for b in once) for r in rows)
+
+
+def test_near_of_nulls_repeats_and_no_rows(spark):
+    docs = cases.frame(spark)
+    rows = fingerprints.with_near(fingerprints.fingerprint(docs), fingerprints.fingerprint(docs))
+    assert rows.count() == docs.count() and rows.where("n_near is null").count() == 0
+    none = fingerprints.fingerprint(cases.empty(spark))
+    assert fingerprints.with_near(none, none).collect() == []

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm import text as T
@@ -23,6 +23,10 @@ BITS = 64
 RADIUS = 3
 _SLICE = 1 << 18
 _LAST = -(1 << 63)
+#: Blocks of bits of the near counts, and the fingerprints of one block value that are compared at once.
+BLOCKS = 5
+PART = 1024
+_SALTS = 16
 
 
 def _terms(found: T.Words, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,3 +183,95 @@ def within_radius(prints: DataFrame, radius: int = RADIUS, blocks: int | None =
     distance = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
     met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint")) & (distance <= radius))
     return met.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), distance.alias("distance")).distinct()
+
+
+class _Tables:
+    """The block tables: bits that name a row's place in each, and the first table where a pair meets."""
+
+    def __init__(self, radius: int, blocks: int) -> None:
+        borders = [i * BITS // blocks for i in range(blocks + 1)]
+        self.parts = [np.uint64(sum(1 << b for b in range(low, high))) for low, high in zip(borders[:-1], borders[1:], strict=True)]
+        own = [set(c) for c in combinations(range(blocks), blocks - radius)]
+        self.masks = np.array([np.bitwise_or.reduce([self.parts[i] for i in sorted(o)]) for o in own], np.uint64)
+        self.radius = radius
+        # By the blocks in which two fingerprints differ; beyond the radius they may meet nowhere.
+        differing = [{i for i in range(blocks) if d >> i & 1} for d in range(1 << blocks)]
+        self.first = np.array([next((t for t, o in enumerate(own) if not o & d), -1) for d in differing])
+
+    def keys(self, bits: np.ndarray) -> np.ndarray:
+        """One key per fingerprint and table; its last eight bits are the table."""
+        mixed = T.mix(bits[:, None] & self.masks)
+        return (mixed & ~np.uint64(255)) | np.arange(len(self.masks), dtype=np.uint64)
+
+    def links(self, a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
+        """Which pairs are different, within the radius, and meet in this table first."""
+        apart = a[:, None] ^ b[None, :]
+        out = (np.bitwise_count(apart) <= self.radius) & (apart != 0)
+        i, j = np.nonzero(out)
+        where = np.zeros(len(i), np.int64)
+        for k, part in enumerate(self.parts):
+            where |= ((apart[i, j] & part) != 0).astype(np.int64) << k
+        out[i, j] = self.first[where] == table
+        return out
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``bits, n_near``: for each different fingerprint (as a 64-bit number) that has any, how many others are within ``radius``.
+
+    Two fingerprints within the radius agree on all blocks but ``radius``, so they meet in a table; a pair counts
+    in the first of them. Fingerprints of a block value are compared ``PART`` by ``PART``; those of a frequent value are dealt to pairs of parts
+    first, so that no task gets all of them. Pairs are counted, never listed.
+    """
+    tables = _Tables(radius, blocks)
+
+    def deal(batches):
+        for batch in batches:
+            bits = np.asarray(batch.column(0)).view(np.uint64)
+            keys = tables.keys(bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(bits, len(tables.masks)).view(np.int64))], ["key", "bits"])
+
+    def counted(found: dict[int, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["bits", "n_near"])
+
+    def compare(batches):
+        found: dict[int, int] = {}
+        for group in T.runs(batches, ["key", "p", "q"]):
+            table = group.column("key")[0].as_py() & 255
+            p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+            bits, part = np.asarray(group.column("bits")), np.asarray(group.column("part"))
+            a, b = (bits[part == x] for x in (p, q))
+            links = tables.links(a.view(np.uint64), b.view(np.uint64), table)
+            for side, own in ((a, links.sum(axis=1)), (b, links.sum(axis=0)))[: 1 if p == q else 2]:
+                for i in np.flatnonzero(own).tolist():
+                    found[int(side[i])] = found.get(int(side[i]), 0) + int(own[i])
+            if len(found) > 100_000:
+                yield counted(found)
+                found = {}
+        yield counted(found)
+
+    value = F.when(F.col("fingerprint") >= "8", F.conv(F.col("fingerprint"), 16, -10)).otherwise(F.conv(F.col("fingerprint"), 16, 10)).cast("long")
+    once = prints.where("fingerprint is not null").select(value.alias("bits")).distinct()
+    keyed = once.mapInArrow(deal, "key long, bits long").repartition(shuffle_partitions(prints.sparkSession), "key")
+    sized = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    zero = F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("part")
+    few = sized.where(F.col("size") <= PART).select("key", *zero, "bits")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    many = sized.where(F.col("size") > PART).withColumns({"part": F.pmod(F.xxhash64("bits"), parts).cast("int"), "parts": parts})
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "bits")
+    many = many.repartition(shuffle_partitions(prints.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    kinds = "bits long, n_near long"
+    counts = few.mapInArrow(compare, kinds).unionByName(many.mapInArrow(compare, kinds))
+    return counts.groupBy("bits").agg(F.sum("n_near").alias("n_near"))
+
+
+def with_near(rows: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``rows`` with ``n_near``: how many different fingerprints of ``prints`` are within ``radius`` of a row's own.
+
+    Rows of one fingerprint, which copies have, are dealt to several join keys.
+    """
+    near = near_counts(prints, radius).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    near = near.select(F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "salt", "n_near")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)).cast("int"))
+    joined = salted.join(near, ["fingerprint", "salt"], "left")
+    return joined.select(*rows.columns, F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))

@@ -66,8 +66,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
-    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and of its edited text, and how many others are near."""
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.with_near(fingerprints.edited_fingerprints(docs), fingerprints.fingerprint(docs))
 
 
 @query("op10_sharding")
