@@ -191,3 +191,19 @@ def test_good_texts_are_those_of_good_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "c d"), (1, "a b"), (1, "e f"), (2, "g h"), (3, "i"), (-4, "j")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 0), (None, 1), (3, None), (-4, 1)], "doc_id long, quality int")
     assert sorted(r.text for r in lm.good_texts(docs, labels, "quality").collect()) == ["a b", "e f", "j"]
+
+
+def test_terms_that_count_only_in_pairs(spark):
+    """The label says whether exactly one of two words is there: neither says anything alone."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"word{rng.randrange(300)}" for _ in range(20)] + ["insulting"] * a + ["groupname"] * b
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = toxicity.score(frame, machine).where("held_out").collect()
+    assert len(rows) > 500 and sum(r.predicted == labels[r.doc_id][1] for r in rows) > 0.95 * len(rows)

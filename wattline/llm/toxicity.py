@@ -6,7 +6,9 @@ model has a short vector for each, whose products weigh pairs: an insult and the
 group can count for more together than apart.
 
 The machine is trained on a bounded sample of labelled documents. Terms that are in fewer than ``RARE`` of
-them, or whose chi-square with the label is below ``CHI_SQUARE``, play no part, nor do any beyond the best ``TERMS``. Scoring covers all documents and whole texts.
+them, or whose chi-square with the label is below ``CHI_SQUARE``, play no part, nor do any beyond the best ``TERMS``. Of the ``FREQUENT`` terms
+that most documents of the sample have, those also count that tell labels apart in a pair only: the chi-square of having both
+is at least ``PAIR_SQUARE`` and twice that of either. Scoring covers all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ STEPS = 1_500
 RARE = 2
 CHI_SQUARE = 15.0
 TERMS = 20_000
+FREQUENT = 256
+PAIR_SQUARE = 60.0
 BEGINNINGS = (4, 5)
 RATE = 0.1
 DECAY = 2e-4
@@ -160,7 +164,44 @@ def _selected_terms(rows: DataFrame) -> np.ndarray:
     square = F.pow(F.col("ones") - F.col("seen") * share, 2) / spread
     best = counts.where(F.col("term").isNotNull() & (F.col("seen") >= RARE) & (square >= CHI_SQUARE))
     top = best.orderBy(F.desc(square), "term").limit(TERMS).select("term").toPandas()
-    return np.sort(top.term.to_numpy(np.int64).view(np.uint64))
+    alone = top.term.to_numpy(np.int64).view(np.uint64)
+    return np.union1d(alone, _terms_of_pairs(rows, counts, n, share))
+
+
+def _chi_square(seen: np.ndarray, ones: np.ndarray, n: int, share: float) -> np.ndarray:
+    spread = seen * share * (1 - share) * np.maximum(1 - seen / max(n, 1), 1e-3)
+    return np.divide((ones - seen * share) ** 2, spread, out=np.zeros(spread.shape), where=spread > 0)
+
+
+def _terms_of_pairs(rows: DataFrame, counts: DataFrame, n: int, share: float) -> np.ndarray:
+    """Hashes of frequent terms that tell labels apart together with another, and not alone."""
+    often = counts.where(F.col("term").isNotNull() & (F.col("seen") >= RARE) & (F.col("seen") < n)).orderBy(F.desc("seen"), "term")
+    often = often.limit(FREQUENT).toPandas()
+    known = np.sort(often.term.to_numpy(np.int64).view(np.uint64))
+    machine = Machine(known, 0.0, np.zeros(len(known)), np.zeros((len(known), 0)))
+
+    def together(batches):
+        both = np.zeros((2, len(known), len(known)))
+        for batch in batches:
+            label = np.asarray(batch.column("label"))
+            for low, high in T.slices(batch.column("text")):
+                place, borders = machine.places(*terms(batch.column("text").slice(low, high - low)))
+                has = np.zeros((high - low, len(known)), np.float32)
+                has[np.repeat(np.arange(high - low), np.diff(borders)), place] = 1
+                both[0] += has.T @ has
+                both[1] += has.T @ (has * label[low:high, None].astype(np.float32))
+        i, j = np.nonzero(both[0])
+        sums = (both[k][i, j].astype(np.int64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i.astype(np.int32), j.astype(np.int32), *sums)], ["i", "j", "seen", "ones"])
+
+    found = rows.mapInArrow(together, "i int, j int, seen long, ones long").groupBy("i", "j").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones"))
+    cells = found.toPandas()  # FREQUENT squared rows at most
+    both = np.zeros((2, len(known), len(known)))
+    both[:, cells.i, cells.j] = cells.seen, cells.ones
+    square = _chi_square(*both, n, share)
+    alone = np.diag(square)
+    paired = (square >= PAIR_SQUARE) & (square >= 2 * np.maximum(alone[:, None], alone[None, :])) & (both[0] >= RARE)
+    return known[paired.any(axis=0)]
 
 
 def _placed(known: np.ndarray):
