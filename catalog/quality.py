@@ -157,6 +157,15 @@ def iqr_bounds(spark, sf_dir):
     return C.outlier_bounds(V.hourly(spark, sf_dir), mode="iqr")
 
 
+@query("iqr_bounds_readings", _R + """SELECT series_id, count(demand_mw) AS n_values, quantile_cont(demand_mw, 0.25) AS q25, quantile_cont(demand_mw, 0.75) AS q75,
+  greatest(0.0, quantile_cont(demand_mw, 0.25) - 3.5 * (quantile_cont(demand_mw, 0.75) - quantile_cont(demand_mw, 0.25))) AS lower,
+  quantile_cont(demand_mw, 0.75) + 3.5 * (quantile_cont(demand_mw, 0.75) - quantile_cont(demand_mw, 0.25)) AS upper
+FROM readings GROUP BY series_id""", "q25 q75 lower upper")
+def iqr_bounds_readings(spark, sf_dir):
+    """Fences of raw readings, which a series may have any number of."""
+    return C.outlier_bounds(V.series_readings(spark, sf_dir), mode="iqr", selection="histogram")
+
+
 @query("clip_iqr", _USERS + ", " + V.clip_sql() + f" {_ALL} clipped", _DOUBLES)
 def clip_iqr(spark, sf_dir):
     return C.clip_outliers(V.hourly(spark, sf_dir, "user_id"))

@@ -150,3 +150,13 @@ def test_daily(spark, chunk_steps):
     ).sort_values(["series_id", "datetime"], ignore_index=True)
     got = to_sorted_pandas(resample_daily_first(df, chunk_steps=chunk_steps))
     assert got["weather_source"].tolist() == [None if x is None or x != x else x for x in first["weather_source"]]
+
+
+def test_fills_scan_and_deal_their_rows_once(spark, tmp_path):
+    path = str(tmp_path / "grid")
+    frame(spark, sine_hourly(500)).write.parquet(path)
+    df = spark.read.parquet(path)
+    for filled in (C.ffill(df), C.interpolate_linear(df), C.bfill(df), C.fill_gaps(df, ["temp_c"]), C.fill_residual(df, ["demand_mw", "temp_c"])):
+        filled.collect()
+        plan = filled._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1

@@ -20,12 +20,14 @@ from wattline.operators.chunks import (
     with_chunk,
 )
 from wattline.operators.resample import keyed, not_nan
+from wattline.operators.select import exact_quantiles
 
 # Fence width in interquartile ranges, the smallest sample that gets
 # such fences, the quantile fences below that, and the longest forward fill.
 IQR_FACTOR = 3.5
 IQR_MIN_VALUES = 10
 QUANTILE_FENCES = (0.001, 0.999)
+FRACTIONS = [0.25, 0.75, *QUANTILE_FENCES]
 FFILL_LIMIT = 4
 
 
@@ -45,11 +47,10 @@ def _fence_inputs(value: str, accuracy: int | None) -> list[Column]:
     # The exact percentile buffers one entry per distinct value of a series, and a
     # gridded series has at most one value per step (8,784 hours a year). Pass
     # ``accuracy`` for an approximate sketch of fixed size instead.
-    fractions = [0.25, 0.75, *QUANTILE_FENCES]
     if accuracy is None:
-        quantiles = F.percentile(F.col(value), fractions)
+        quantiles = F.percentile(F.col(value), FRACTIONS)
     else:
-        quantiles = F.percentile_approx(F.col(value), fractions, accuracy)
+        quantiles = F.percentile_approx(F.col(value), FRACTIONS, accuracy)
     return [F.count(value).alias("_n"), quantiles.alias("_q")]
 
 
@@ -76,18 +77,27 @@ def outlier_bounds(
     by: Sequence[str] = BY,
     mode: str = "auto",
     accuracy: int | None = None,
+    selection: str = "buffer",
 ) -> DataFrame:
     """Lower and upper fence per series.
 
     ``mode="iqr"`` gives ``max(0, q25 - 3.5 IQR)`` and ``q75 + 3.5 IQR``;
     ``mode="quantile"`` the 0.1 % and 99.9 % quantiles; ``"auto"`` uses quantiles for
     series of up to ten values.
+
+    Quantiles are exact (or sketched, with ``accuracy``). ``selection="buffer"`` holds the distinct values of a series in a task, of
+    which a grid has one per step; ``"histogram"`` is for raw readings of any number and reads ``df`` several times.
     """
     low, high = _fences(mode)
+    if selection not in ("buffer", "histogram"):
+        raise ValueError(f"selection is buffer or histogram, not {selection!r}")
+    if selection == "histogram":
+        found = exact_quantiles(df, value, FRACTIONS, by=by)
+        found = found.select(*by, F.col("n").alias("_n"), F.coalesce("quantiles", F.array(*[F.lit(None).cast("double")] * 4)).alias("_q"))
+    else:
+        found = df.groupBy(*by).agg(*_fence_inputs(value, accuracy))
     return (
-        df.groupBy(*by)
-        .agg(*_fence_inputs(value, accuracy))
-        .select(
+        found.select(
             *by,
             F.col("_n").alias("n_values"),
             F.col("_q")[0].alias("q25"),
@@ -144,18 +154,26 @@ def _with_neighbours(
 
     Inside a chunk both come from running windows (the next one in descending order,
     so no frame grows past the current row). Across chunks they come from a table
-    with one row per chunk.
+    with one row per chunk, aggregated from the same exchange of rows.
     """
+    step, row = F.col(STEP_COL), F.col("_row")
+    # Rows are dealt to chunks once. The borders are taken from the same exchange: whole rows go along, because
+    # an exchange with other columns would be another one.
     base = with_chunk(df, freq=freq, time=time, chunk_steps=chunk_steps)
-    step = F.col(STEP_COL)
-    ends = []
+    whole = F.struct(*[c for c in df.columns if c not in by]).alias("_row")
+    for key in (*by, CHUNK_COL):  # what the join below would ask of one branch only
+        base = base.filter(F.col(key).isNotNull())
+    base = base.select(*by, CHUNK_COL, STEP_COL, whole).repartition(*by, CHUNK_COL)
+    ends, values = [], {}
     for c in columns:
-        valid = F.when(F.col(c).isNotNull(), step)
+        valid = F.when(row[c].isNotNull(), step)
         if back:
-            ends += [F.max(valid).alias(f"_{c}_ls"), F.max_by(c, valid).alias(f"_{c}_lv")]
+            ends += [F.max(valid).alias(f"_{c}_ls"), F.max_by("_row", valid).alias(f"_{c}_lr")]
+            values[f"_{c}_lv"] = F.col(f"_{c}_lr")[c]
         if ahead:
-            ends += [F.min(valid).alias(f"_{c}_fs"), F.min_by(c, valid).alias(f"_{c}_fv")]
-    chunks = base.groupBy(*by, CHUNK_COL).agg(*ends)
+            ends += [F.min(valid).alias(f"_{c}_fs"), F.min_by("_row", valid).alias(f"_{c}_fr")]
+            values[f"_{c}_fv"] = F.col(f"_{c}_fr")[c]
+    chunks = base.groupBy(*by, CHUNK_COL).agg(*ends).withColumns(values)
     order = Window.partitionBy(*by)  # one row per chunk
     earlier = order.orderBy(CHUNK_COL).rowsBetween(Window.unboundedPreceding, -1)
     later = order.orderBy(F.col(CHUNK_COL).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -172,6 +190,8 @@ def _with_neighbours(
                 F.last(f"_{c}_fv", True).over(later).alias(f"_{c}_nv"),
             ]
     out = base.join(chunks.select(*by, CHUNK_COL, *carried), [*by, CHUNK_COL])
+    borders = [f"_{c}_{k}" for c in columns for k in (["ps", "pv"] if back else []) + (["ns", "nv"] if ahead else [])]
+    out = out.select(*by, CHUNK_COL, STEP_COL, "_row.*", *borders)
     up = chunk_window(by).rowsBetween(Window.unboundedPreceding, 0)
     down = chunk_window(by, descending=True).rowsBetween(Window.unboundedPreceding, 0)
     near = {}
