@@ -90,3 +90,15 @@ def test_addresses_of_letters_only_are_looked_at():
     text = "from abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd today"
     assert pii.candidates(text).patterns
     assert pii._suspects(pa.array([text, "nothing here", None])).tolist() == [True, False, False]
+
+
+def test_very_many_spans_in_one_text():
+    import time
+
+    text = " ".join(f"user{i}@mail{i % 7}.com" for i in range(60_000))
+    start = time.perf_counter()
+    found = pii.candidates(text)
+    model = pii.fit([])
+    spans = pii.all_spans(found, model)
+    assert len(spans) >= 60_000 and spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+    assert time.perf_counter() - start < 60

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -265,11 +266,19 @@ def all_spans(found: Candidates, model: Classifier) -> list[Span]:
 
     A strict match that failed its check is dropped for good; looser candidates inside it may pass.
     """
-    out = list(found.base)
+    # Spans of a kind don't overlap, so only those next to a candidate's place can touch it.
+    starts: dict[str, list[int]] = {kind: [] for kind in KINDS}
+    ends: dict[str, list[int]] = {kind: [] for kind in KINDS}
+    for kind, a, b in sorted(found.base, key=lambda s: s[1]):
+        starts[kind].append(a)
+        ends[kind].append(b)
     for (kind, a, b), (_, vote, shape) in zip(found.spans, found.patterns, strict=True):
-        if vote[0] >= 0 and model.accepts(kind, vote, shape) and not any(k == kind and a < y and x < b for k, x, y in out):
-            out.append((kind, a, b))
-    return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
+        at = bisect_left(starts[kind], a)
+        touches = (at > 0 and ends[kind][at - 1] > a) or (at < len(starts[kind]) and starts[kind][at] < b)
+        if vote[0] >= 0 and not touches and model.accepts(kind, vote, shape):
+            starts[kind].insert(at, a)
+            ends[kind].insert(at, b)
+    return [(kind, a, b) for kind in KINDS for a, b in zip(starts[kind], ends[kind], strict=True)]
 
 
 def _text_of(spans: list[Span]) -> str:
