@@ -7,7 +7,7 @@ import cases
 
 def test_names():
     names = [n for n in QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(ORACLES) - {"pipeline"} <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(ORACLES) - {"pipeline"} <= set(QUERIES)
 
 
 def test_stages_take_effect(spark, sf_dir):

@@ -216,19 +216,47 @@ def near_duplicates(
     )
 
 
+_KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a key: the id, or a number above all ids where an id is null or goes with different rows.
+
+    Rows that agree in id and text share a key; all others have keys of their own.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    repeated = stored(ids.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 or _id is null").select("_id"))
+    plain = docs.withColumn(_KEY, F.col(id_col).cast("long"))
+    if repeated.isEmpty():
+        return plain
+    top = ids.agg(F.max("_id")).first()[0]
+    twice = repeated.select(F.coalesce("_id", F.lit(0)).alias("_i"), F.col("_id").isNull().alias("_none"))
+    marked = plain.withColumns({"_i": F.coalesce(_KEY, F.lit(0)), "_none": F.col(_KEY).isNull()})
+    special = marked.join(twice, ["_i", "_none"], "left_semi").withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    # Stored before it is numbered, so that the numbers stay.
+    names = stored(special.select("_i", "_none", "_digest").distinct())
+    number = F.monotonically_increasing_id() + F.lit(max(top if top is not None else 0, 0) + 1)
+    names = stored(names.withColumn(_KEY, number))
+    numbered = special.drop(_KEY).join(names, ["_i", "_none", "_digest"])
+    rest = marked.join(twice, ["_i", "_none"], "left_anti")
+    return rest.select(*docs.columns, _KEY).unionByName(numbered.select(*docs.columns, _KEY))
+
+
 def drop_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one row of each group of near-duplicates.
 
-    Of rows with that id, one stays (the least in all its columns).
-    Rows without an id stay.
+    Rows link by their texts alone. Of a group the row with the smallest id stays; rows whose id is null, or is the
+    id of another row as well, come after those with an id of their own. Of rows that agree in id and text one stays (the least in
+    all its columns). Null and empty texts link with nothing.
     """
-    marked = near_duplicates(docs, threshold, id_col, text_col).where("doc_id is not null")
-    flags = marked.groupBy(F.col("doc_id").alias(id_col)).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
+    keyed = _keyed(docs, id_col, text_col)
+    marked = near_duplicates(keyed, threshold, _KEY, text_col)
+    flags = marked.groupBy(F.col("doc_id").alias(_KEY)).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
     flags = stored(flags.where("not kept or rows > 1"))
-    left = docs.join(flags.where("not kept").select(id_col), id_col, "left_anti").select(*docs.columns)
-    twice = flags.where("kept").select(id_col)
+    left = keyed.join(flags.where("not kept").select(_KEY), _KEY, "left_anti").select(*keyed.columns)
+    twice = flags.where("kept").select(_KEY)
     if twice.isEmpty():
-        return left
+        return left.select(*docs.columns)
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    merged = left.join(twice, id_col, "left_semi").groupBy(id_col).agg(F.min(rows).alias("row")).select("row.*")
-    return left.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(merged)
+    merged = left.join(twice, _KEY, "left_semi").groupBy(_KEY).agg(F.min(rows).alias("row")).select("row.*")
+    return left.join(twice, _KEY, "left_anti").select(*docs.columns).unionByName(merged)
