@@ -207,27 +207,44 @@ def ridge_next_day(spark, sf_dir, deltas=(-5.0, 0.0, 5.0)):
     return P.forecast_next_day(history, _ridge(spark, history, matrix, X.HOURLY, 10.0, "hour", 24, look), look)
 
 
-@query("forecast_next_day_ridge")
+def _inside():
+    forecast = F.col("forecast_mw")
+    inside = (F.col("lower_bound_90") <= forecast) & (forecast <= F.col("upper_bound_90")) & (forecast > 0)
+    return inside.alias("inside")
+
+
+def _steps_sql(source, unit, steps, scenarios=1, name="sound"):
+    """Keys of the rows that a forecast of ``steps`` steps has."""
+    return V.with_(V.clean_sql(source, unit)) + f"""SELECT series_id, CAST(scenario AS INTEGER) AS scenario_id, step, CAST(hi + step * INTERVAL 1 {unit} AS TIMESTAMP) AS datetime, true AS {name}
+FROM (SELECT series_id, max(datetime) AS hi FROM cleaned GROUP BY 1), (SELECT CAST(unnest(generate_series(1, {steps})) AS INTEGER) AS step), (SELECT unnest(range({scenarios})) AS scenario)"""
+
+
+@query("forecast_next_day_ridge", _steps_sql(V.MIXED_SQL, "hour", 24, 3, "inside"))
 def forecast_next_day_ridge(spark, sf_dir):
-    """Recursive ridge forecast of a long and a short series under three temperature scenarios."""
-    return ridge_next_day(spark, sf_dir)
+    """Recursive ridge forecast of a long and a short series under three temperature scenarios: every row, above zero and inside its bounds."""
+    return ridge_next_day(spark, sf_dir).select("series_id", "scenario_id", "step", "datetime", _inside())
 
 
-@query("forecast_next_week_ridge")
+@query("forecast_next_week_ridge", f"""SELECT series_id, scenario_id, CAST(date_trunc('day', datetime) AS TIMESTAMP) AS datetime, true AS inside FROM ({_steps_sql(V.MIXED_SQL, "hour", 168)}) GROUP BY ALL""")
 def forecast_next_week_ridge(spark, sf_dir):
+    """Days of the recursive ridge forecast: their mean lies between the least and the largest hour."""
     look = outlook(spark)
     history = stored_history(spark, sf_dir, "mixed")
     matrix = X.feature_matrix(history, look.holidays, freq="hour", spec=X.HOURLY, country="IN")
-    return P.forecast_next_week(history, _ridge(spark, history, matrix, X.HOURLY, 10.0, "hour", 168, look), look)[1]
+    days = P.forecast_next_week(history, _ridge(spark, history, matrix, X.HOURLY, 10.0, "hour", 168, look), look)[1]
+    mean = F.col("forecast_mean_mw")
+    inside = (mean > 0) & (F.col("min_mw") <= mean + 1e-6) & (mean <= F.col("peak_mw") + 1e-6)
+    return days.select("series_id", "scenario_id", "datetime", inside.alias("inside"))
 
 
-@query("forecast_next_month_ridge")
+@query("forecast_next_month_ridge", _steps_sql(V.ORDERS_SQL, "day", 30, name="inside"))
 def forecast_next_month_ridge(spark, sf_dir):
     """Recursive daily ridge forecast with the full daily matrix, annual lag included."""
     look = outlook(spark)
     history = stored_history(spark, sf_dir, "day")
     matrix = X.feature_matrix(history, look.holidays, freq="day", country="IN")
-    return P.forecast_next_month(history, _ridge(spark, history, matrix, X.DAILY, 5.0, "day", 30, look), look, daily=True)
+    out = P.forecast_next_month(history, _ridge(spark, history, matrix, X.DAILY, 5.0, "day", 30, look), look, daily=True)
+    return out.select("series_id", "scenario_id", "step", "datetime", _inside())
 
 
 def _trees(spark, sf_dir, freq, candidate, horizon):
@@ -248,12 +265,6 @@ def _trees(spark, sf_dir, freq, candidate, horizon):
     return out.join(known, "series_id").select("series_id", "scenario_id", "step", "datetime", sound.alias("sound"))
 
 
-def _steps_sql(source, unit, steps):
-    """Keys of the rows that a forecast of ``steps`` steps has."""
-    return V.with_(V.clean_sql(source, unit)) + f"""SELECT series_id, 0 AS scenario_id, step, CAST(hi + step * INTERVAL 1 {unit} AS TIMESTAMP) AS datetime, true AS sound
-FROM (SELECT series_id, max(datetime) AS hi FROM cleaned GROUP BY 1), (SELECT CAST(unnest(generate_series(1, {steps})) AS INTEGER) AS step)"""
-
-
 @query("recursive_forecast_trees", _steps_sql(V.MIXED_SQL, "hour", 24))
 def recursive_forecast_trees(spark, sf_dir):
     return _trees(spark, sf_dir, "hour", "Hourly Trees (Default)", 24)

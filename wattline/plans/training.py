@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from wattline.models import folds as folding
 from wattline.models.naive import SEASONAL_COLUMN, predict_naive
 from wattline.models.boosting import FOREST, binned_blocks, cv_forests, fit_forests, predict_forests
-from wattline.models.registry import publish_models, save_model
+from wattline.models.registry import publish_models, published_models, save_model
 from wattline.models.ridge import ALL_ROWS, ALPHA, fit_ridge, predict_ridge
 from wattline.models.trees import CANDIDATES, Trees
 from wattline.names import BY, DEMAND, SERIES, TIME
@@ -28,17 +29,17 @@ class Training:
     """Outcome of one product line.
 
     ``champions`` has the best candidate of each series, and for series too short for
-    the folds no candidate but the ``reason``. ``models`` has each series' own champion, refitted; ``model``
-    is the candidate that is best over all, refitted for every series.
+    the folds no candidate but the ``reason``. ``models`` has each series' own champion, refitted; ``best_model``
+    gives the candidate that is best over all, refitted for every series.
     """
 
     freq: str
     features: list[str]
     results: DataFrame
     champion: str
-    model: DataFrame | None
     champions: DataFrame
     models: DataFrame
+    best_model: Callable[[DataFrame | None], DataFrame | None]
 
 
 def candidate_order(freq: str, trees: Mapping[str, Trees] | None = None) -> list[str]:
@@ -107,15 +108,26 @@ def refit(
     rounds: int | None = None,
     by: Sequence[str] = BY,
     time: str = TIME,
+    known: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Fit the named candidate on all rows, one model per series; the naive model has nothing to fit."""
+    """Fit the named candidate on all rows, one model per series; the naive model has nothing to fit.
+
+    Series that have a forest of this candidate in ``known`` (``refit_each``, stored) keep it.
+    """
     if champion == NAIVE[freq]:
         return None
     if champion == RIDGE[freq]:
         return fit_ridge(matrix, features, alpha or ALPHA[freq], by=by)
     settings = (CANDIDATES[freq] if trees is None else trees)[champion]
+    kept = None
+    if known is not None:
+        kept = known.filter((F.col("kind") == "forest") & (F.col("model") == champion)).select(*by, "forest.*", "n_rows")
+        matrix = matrix.join(kept.select(*by), list(by), "left_anti")
+        if matrix.isEmpty():
+            return kept
     binned = binned_blocks(matrix, features, freq=freq, by=by, time=time)
-    return fit_forests(binned, {champion: settings}, rounds=rounds, by=by).drop("model")
+    fitted = fit_forests(binned, {champion: settings}, rounds=rounds, by=by).drop("model")
+    return fitted if kept is None else kept.unionByName(fitted)
 
 
 def refit_each(
@@ -192,11 +204,15 @@ def train(matrix: DataFrame, *, freq: str, by: Sequence[str] = BY, time: str = T
     sizes = {k: v for k, v in kwargs.items() if k in ("n_splits", "test_size")}
     short = folding.unserved(matrix, freq=freq, by=by, **sizes).drop("n_rows")
     champions = folding.leaderboard(folding.select_champion(results, order, by=by), short)
-    model = refit(matrix, best["model"], features, freq=freq, by=by, time=time, **options)
+    best_model = partial(_refit_known, matrix, best["model"], features, dict(freq=freq, by=by, time=time, **options))
     models = refit_each(matrix, champions, features, freq=freq, by=by, time=time, **options)
     scores = results.select(*by, "model", F.struct(*folding.CV_METRICS).alias("scores"))
     models = models.join(scores, [*by, "model"], "left")
-    return Training(freq, features, overall, best["model"], model, champions, models)
+    return Training(freq, features, overall, best["model"], champions, models, best_model)
+
+
+def _refit_known(matrix: DataFrame, champion: str, features: Sequence[str], options: dict, known: DataFrame | None = None):
+    return refit(matrix, champion, features, known=known, **options)
 
 
 def train_all(
@@ -215,10 +231,12 @@ def train_all(
     for outcome in outcomes:
         write_table(outcome.champions, f"{path}/champions_{outcome.freq}")
         publish_models(outcome.models, f"{path}/models_{outcome.freq}", features=outcome.features, freq=outcome.freq)
-        if outcome.model is not None:
+        # What is published is stored, so its forests needn't be fitted again.
+        model = outcome.best_model(published_models(spark, f"{path}/models_{outcome.freq}")[0])
+        if model is not None:
             scores = {r["model"]: r.asDict() for r in outcome.results.collect()}  # one row per candidate
             save_model(
-                outcome.model,
+                model,
                 f"{path}/best_model_{outcome.freq}",
                 features=outcome.features,
                 metrics=scores,
