@@ -193,6 +193,17 @@ def test_good_texts_are_those_of_good_ids(spark):
     assert sorted(r.text for r in lm.good_texts(docs, labels, "quality").collect()) == ["a b", "e f", "j"]
 
 
+def test_good_rows_are_told_though_the_bitmaps_are_crowded(spark, monkeypatch):
+    """Small bitmaps: many ids are in the first one by chance, and some good ones in the second."""
+    monkeypatch.setattr(lm, "_BITS", 1 << 15)
+    n = 30_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "int(id % 3 = 0) as quality")
+    good = lm.Good(docs, lm.good_ids(labels, "quality"))
+    sure, checked = ([r.text for r in part.collect()] for part in (good.sure(), good.checked()))
+    assert sure and checked and sorted(sure + checked) == sorted(f"w{i}" for i in range(0, n, 3))
+
+
 def test_terms_that_count_only_in_pairs(spark):
     """The label says whether exactly one of two words is there: neither says anything alone."""
     rng = random.Random(5)

@@ -8,7 +8,8 @@ background loss: below zero, the target model expects it better.
 
 The vocabulary grows with the target documents; each task holds it, 8 bytes a word, and those that look
 up pairs its counts, 40 bytes a word. Word pairs have 64 bits and travel compressed in arrays.
-Texts of good documents come from a join by id; a bitmap of fixed size drops most others before it. Counts are summed in each task and then by bucket of pairs. Pairs
+Texts are told good where they are read, by two bitmaps of hashed ids of fixed size: of the good ids, and of other rows' ids that the
+first takes in. Only rows in both are moved and joined by id. Counts are summed in each task and then by bucket of pairs. Pairs
 that make up a 20,000th of all or more are at most 20,000; their values go to every task. The
 others are looked up where their bucket's counts are, so no pair can crowd a task, and
 come back as one partial sum per document and bucket.
@@ -108,30 +109,93 @@ def vocabulary(texts: DataFrame, least: int = LEAST) -> Words:
     return Words(np.sort(counted.select("word").toArrow()["word"].to_numpy().view(np.uint64)))
 
 
-def good_texts(rows: DataFrame, labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
-    """The texts of ``rows`` whose id is labelled good; a repeated id has its least label.
-
-    A bitmap of hashed good ids, 8 MB however many there are, spares most other texts the way to the join.
-    """
+def good_ids(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """``id`` of everything labelled good; a repeated id has its least label."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(column).isNotNull())
-    once = known.groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min(F.col(column).cast("int")).alias("label"))
-    good = once.where("label = 1").select("label_id")
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS))
-    marked = good.select(spot("label_id").alias("spot"))
+    once = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(column).cast("int")).alias("label"))
+    return once.where("label = 1").select("id")
+
+
+def _spot(name: str):
+    """Place of an id in a bitmap; -1 without an id."""
+    return F.coalesce(F.when(F.col(name).isNotNull(), F.pmod(F.xxhash64(name), F.lit(_BITS))), F.lit(-1))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of hashed ids, 8 MB however many there are."""
+    spots = ids.select(_spot("id").alias("spot"))
     row = F.floor(F.col("spot") / _BITS_A_ROW).cast("int").alias("row")
     bits = np.zeros((_BITS // _BITS_A_ROW, _BITS_A_ROW // 8), np.uint8)
-    for r in marked.groupBy(row).agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(_BITS_A_ROW))).alias("bits")).collect():  # 2,048 rows at most
+    for r in spots.groupBy(row).agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(_BITS_A_ROW))).alias("bits")).collect():  # 2,048 rows at most
         bits[r.row] = np.frombuffer(bytes(r.bits), np.uint8)
-    bits = bits.ravel()
+    return bits.ravel()
 
-    def possible(batches):
-        for batch in batches:
-            at = np.asarray(batch.column("spot"))
-            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
 
-    found = rows.where("doc_id is not null").select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(possible, "doc_id long, text string")
-    return found.join(good, F.col("doc_id") == F.col("label_id"), "left_semi").select("text")
+def _held(bits: np.ndarray, spots: pa.Array) -> np.ndarray:
+    at = np.asarray(spots)
+    return (at >= 0) & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+
+class Good:
+    """Tells the rows with a good id. Nearly all are told by bitmaps in place, the others by a join.
+
+    The second bitmap has the ids of ``rows`` that the first holds though they aren't good. A row in the first alone is
+    therefore good for sure; a row in both is looked up. While ids are few against 2**26 bits, hardly any row is in both; with very many
+    all rows that the first holds are joined.
+    """
+
+    def __init__(self, rows: DataFrame, good: DataFrame):
+        self.rows = rows.select("doc_id", "text", _spot("doc_id").alias("spot"))
+        self.ids = stored(good)
+        self.first = _bitmap(self.ids)
+        first = self.first
+
+        def taken(batches):
+            for batch in batches:
+                yield batch.select(["id"]).filter(pa.array(_held(first, batch.column("spot"))))
+
+        ids = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), _spot("doc_id").alias("spot")).mapInArrow(taken, "id long")
+        self.second = _bitmap(ids.join(self.ids, "id", "left_anti"))
+
+    def marks(self):
+        """A function from rows to their texts with ``good``: 1 for sure, else 0."""
+        first, second = self.first, self.second
+
+        def marks(batches):
+            for batch in batches:
+                sure = _held(first, batch.column("spot")) & ~_held(second, batch.column("spot"))
+                yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(sure.astype(np.int32))], ["text", "good"])
+
+        return marks
+
+    def sure(self) -> DataFrame:
+        marks = self.marks()
+
+        def sure(batches):
+            for batch in marks(batches):
+                yield batch.select(["text"]).filter(pa.array(np.asarray(batch.column("good")) == 1))
+
+        return self.rows.mapInArrow(sure, "text string")
+
+    def checked(self) -> DataFrame:
+        """Texts of the good rows that are not sure."""
+        first, second = self.first, self.second
+
+        def open_rows(batches):
+            for batch in batches:
+                both = _held(first, batch.column("spot")) & _held(second, batch.column("spot"))
+                yield batch.select(["doc_id", "text"]).filter(pa.array(both))
+
+        found = self.rows.mapInArrow(open_rows, "doc_id long, text string")
+        return found.join(self.ids, F.col("doc_id") == F.col("id"), "left_semi").select("text")
+
+    def texts(self) -> DataFrame:
+        return self.sure().unionByName(self.checked())
+
+
+def good_texts(rows: DataFrame, labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """The texts of ``rows`` whose id is labelled good; a repeated id has its least label."""
+    return Good(rows, good_ids(labels, column, id_col)).texts()
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -170,14 +234,14 @@ _COUNTS = "bucket int, keys binary, background binary, target binary"
 
 
 def _count(words: Words, buckets: int):
-    """Pair counts of a task, packed by bucket; good rows count for the target only."""
+    """Pair counts of a task, packed by bucket. Rows count for the background (``good`` 0), for both (1) or for the target (2)."""
 
     def flush(pieces):
         keys = np.concatenate([k for k, _ in pieces])
         good = np.concatenate([g for _, g in pieces])
         found, which = np.unique(keys, return_inverse=True)
-        background = np.bincount(which[~good], minlength=len(found)).astype(np.uint32)
-        target = np.bincount(which[good], minlength=len(found)).astype(np.uint32)
+        background = np.bincount(which[good < 2], minlength=len(found)).astype(np.uint32)
+        target = np.bincount(which[good > 0], minlength=len(found)).astype(np.uint32)
         order, borders = _dealt(found, buckets)
         keys, *sides = (x[order] for x in (found, background, target))
         parts = [(b, slice(borders[b], borders[b + 1])) for b in range(buckets) if borders[b + 1] > borders[b]]
@@ -190,7 +254,7 @@ def _count(words: Words, buckets: int):
             texts, good = batch.column("text"), np.asarray(batch.column("good"))
             for low, high in T.slices(texts):
                 keys, first = words.pairs(texts.slice(low, high - low))
-                pieces.append((keys, np.repeat(good[low:high] == 1, np.diff(first))))
+                pieces.append((keys, np.repeat(good[low:high].astype(np.int8), np.diff(first))))
                 size += len(keys)
                 if size > _BLOCK_WORDS:
                     yield from flush(pieces)
@@ -367,10 +431,11 @@ def cross_entropy_difference(
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    good = good_texts(rows, labels, label_col, id_col)
-    known = vocabulary(good, least)
-    every = rows.select("text", F.lit(0).alias("good")).unionByName(good.withColumn("good", F.lit(1)))
-    counted = every.mapInArrow(_count(known, buckets), _COUNTS)
+    good = Good(rows, good_ids(labels, label_col, id_col))
+    known = vocabulary(good.texts(), least)
+    marks, count = good.marks(), _count(known, buckets)
+    checked = good.checked().withColumn("good", F.lit(2)).mapInArrow(count, _COUNTS)
+    counted = good.rows.mapInArrow(lambda batches: count(marks(batches)), _COUNTS).unionByName(checked)
     tables = stored(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _COUNTS))
     sums = tables.mapInArrow(_singles(known.size), "word long, a long, b long, c long, d long").groupBy("word").agg(*[F.sum(c).alias(c) for c in "abcd"])
     single, before = np.zeros((2, known.size)), np.zeros((2, known.size))
