@@ -76,3 +76,19 @@ def test_scaled_copies_and_repeated_ids_do_not_hide_neighbours(spark):
         found = [r.vec_id for r in got.where("rank <= 5").orderBy("rank").collect()]
         assert len(set(found)) == 5 and query not in found
         assert want is None or found == want
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(40, 6))
+    factor = [1e300, 1e-300, 1.0, 1e-160, 1e160]
+    scaled = [(i, (x * factor[i % 5]).tolist()) for i, x in enumerate(v)]
+    want = _plain(list(enumerate(v)), list(enumerate(v)), 5)
+    frame = spark.createDataFrame(scaled, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, frame, tables=2, probes=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.keys() == want.keys()
+    for q, found in got.items():
+        assert [i for i, _ in found] == [i for _, i in want[q]]
+        assert [s for _, s in found] == pytest.approx([-c for c, _ in want[q]], abs=1e-12)
