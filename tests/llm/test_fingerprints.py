@@ -34,6 +34,30 @@ def test_edited_texts_equal_plain_python(spark, partitions):
     assert all(0 <= r.near_edited <= 1 for r in got)
 
 
+@pytest.mark.parametrize("start", [100, (1 << 62) + 12345])
+def test_rows_without_an_id_and_of_one_id_are_cut_by_text(spark, start):
+    rng = random.Random(4)
+    ids = [None] * 200 + [7] * 200 + [start + k for k in range(200)]
+    rows = [(i, "".join(rng.choice("abcdefgh \u00e9") for _ in range(rng.randrange(1, 30)))) for i in ids] + [(None, "same text"), (None, "same text"), (7, None), (7, "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        dealt = fingerprints.edited_fingerprints(docs)
+        got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in dealt.collect()]
+        sizes = [n for n in dealt.rdd.glom().map(len).collect() if n]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    own = sorted(((i, t or "") for i, t in rows), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1].encode()))
+    want = []
+    for k, (doc_id, text) in enumerate(own):
+        half, after = len(text) // 2, own[(k + 1) % len(own)][1]
+        want.append((doc_id, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len(sizes) >= 6 and max(sizes) < len(rows) / (4 if start == 100 else 2)
+
+
 def test_one_row_follows_itself_and_empty_table(spark):
     row = fingerprints.edited_fingerprints(cases.frame(spark, ["abcd"])).first()
     assert row.edited_sha256 == hashlib.sha256(b"abab").hexdigest()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +24,7 @@ BITS = 64
 RADIUS = 3
 _SLICE = 1 << 18
 _LAST = -(1 << 63)
+_END = (1 << 48) - 1
 #: Blocks of bits of the near counts, and the fingerprints of one block value that are compared at once.
 BLOCKS = 5
 PART = 1024
@@ -74,23 +76,97 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(add, "doc_id long, fingerprint string")
 
 
-def _dealt(borders: np.ndarray):
-    """Each row with the range of its key; the first row of a range is also sent to the one before."""
+@dataclass
+class Ranges:
+    """Ranges of rows in order of (id descending, text), numbered from the last; a border is the first row of its range.
 
-    def deal(batches):
+    ``keys`` are the ids of the borders, ascending. An id that fills more than one range is cut by the beginning of its texts
+    as well: ``cuts`` has the beginnings of its borders, counted down from ``_END``, ascending.
+    """
+
+    keys: np.ndarray
+    cuts: dict[int, np.ndarray]
+
+    def __post_init__(self):
+        sizes = [len(self.cuts.get(k, (0,))) for k in self.keys.tolist()]
+        self.start = np.concatenate(([0], np.cumsum(sizes)))
+
+    def __len__(self) -> int:
+        return int(self.start[-1])
+
+    def of(self, keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's range, and whether it may be the first of it."""
+        at = np.searchsorted(self.keys, keys)
+        part, first = self.start[at], self.keys[at] == keys
+        for key, cuts in self.cuts.items():
+            rows = np.flatnonzero(keys == key)
+            down = _END - begins[rows]
+            spot = np.searchsorted(cuts, down)
+            part[rows] += spot
+            first[rows] = cuts[spot] == down
+        return part, first
+
+
+def _ranges(keyed: DataFrame, parts: int) -> Ranges:
+    """About ``parts`` ranges of rows alike in number."""
+    top = F.max("key").alias("top")
+    found = keyed.agg(top, F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("at")).first()
+    if found.top is None:
+        return Ranges(np.zeros(1, np.int64), {})
+    guess, times = np.unique(np.minimum(np.array([*found.at, found.top], np.int64), found.top), return_counts=True)
+    # Quantiles pass through floating point, which rounds large ids; a border is the largest id there is up to the quantile.
+    tops = keyed.select("key").mapInArrow(_largest(guess), "place int, key long").groupBy("place").agg(F.max("key").alias("key"))
+    exact = {r.place: r.key for r in tops.collect()}  # one row per range
+    keys = np.array(sorted(exact.values()), np.int64)
+    often = {k: int(times[i]) for i, k in exact.items() if times[i] > 1 and guess[i] == k}
+    cuts = {}
+    if often:  # each has more than a ``parts``-th of all rows
+        begins = F.percentile_approx("begin", [i / parts for i in range(parts)], 10 * parts).alias("at")
+        for r in keyed.where(F.col("key").isin(list(often))).groupBy("key").agg(begins, F.min("begin").alias("least")).collect():
+            some = np.array(r.at, np.int64)[:: max(1, parts // often[r.key])]
+            cuts[r.key] = np.unique(_END - np.append(some, r.least))
+    return Ranges(keys, cuts)
+
+
+def _largest(borders: np.ndarray):
+    def largest(batches):
+        out = np.full(len(borders), _LAST)
+        seen = np.zeros(len(borders), bool)
         for batch in batches:
             keys = np.asarray(batch.column("key"))
-            part = np.searchsorted(borders, keys)
-            copies = np.flatnonzero(borders[part] == keys)
-            halo = batch.take(pa.array(copies))
-            for rows, to, flag in ((batch, part, 0), (halo, (part[copies] + 1) % len(borders), 1)):
-                if rows.num_rows:
-                    marks = [pa.array(to, pa.int32()), pa.array(np.full(rows.num_rows, flag), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *marks], [*rows.schema.names, "part", "halo"])
+            place = np.searchsorted(borders, keys)
+            np.maximum.at(out, place, keys)
+            seen[place] = True
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(out[some])], ["place", "key"])
+
+    return largest
+
+
+def _dealt(ranges: Ranges):
+    """Each row with its range; the first row of a range, as far as a task can tell, is also sent to the one before."""
+
+    def deal(batches):
+        firsts: dict[int, tuple[str, pa.RecordBatch]] = {}
+        for batch in batches:
+            part, first = ranges.of(np.asarray(batch.column("key")), np.asarray(batch.column("begin")))
+            rows = batch.select(["key", "doc_id", "text"])
+            yield _to(rows, part, 0)
+            for i in np.flatnonzero(first).tolist():
+                text, own = rows.column("text")[i].as_py() or "", int(part[i])
+                if own not in firsts or text < firsts[own][0]:
+                    firsts[own] = text, rows.take(pa.array([i]))
+        for own, (_, row) in firsts.items():
+            yield _to(row, np.array([(own + 1) % len(ranges)]), 1)
 
     return deal
 
 
+def _to(rows: pa.RecordBatch, part: np.ndarray, halo: int) -> pa.RecordBatch:
+    marks = [pa.array(part.astype(np.int32)), pa.array(np.full(rows.num_rows, halo, np.int32))]
+    return pa.RecordBatch.from_arrays([*rows.columns, *marks], [*rows.schema.names, "part", "halo"])
+
+
 def _neighbours(batches) -> Iterator[tuple[int | None, str, str]]:
     """Rows with the text that follows each in its range."""
     held = None
@@ -147,17 +223,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the empty text. A table of one row follows itself.
 
     Rows are dealt to ranges of ids once, with the first row of each range copied to
-    the range before it.
+    the range before it. Rows of one id (or without an id) that fill more than one range are cut by the first
+    six bytes of their texts; those that agree in these as well stay together.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = shuffle_partitions(spark)
-    keys = keyed.select("key")
-    top = keys.agg(F.max("key")).first()[0]
-    chosen = keys.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    borders = np.unique(np.array([*chosen, top if top is not None else 0], np.int64))
-    dealt = keyed.mapInArrow(_dealt(borders), "key long, doc_id long, text string, part int, halo int")
-    ordered = dealt.repartitionById(len(borders), "part").sortWithinPartitions("part", "halo", F.desc("key"), "text")
+    text = F.col(text_col)
+    begin = F.conv(F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), begin.alias("begin"))
+    ranges = _ranges(keyed.select("key", "begin"), shuffle_partitions(spark))
+    dealt = keyed.mapInArrow(_dealt(ranges), "key long, doc_id long, text string, part int, halo int")
+    ordered = dealt.repartitionById(len(ranges), "part").sortWithinPartitions("part", "halo", F.desc("key"), "text")
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.select("part", "halo", "doc_id", "text").mapInArrow(_edited, kinds)
 
