@@ -23,6 +23,7 @@ from wattline.llm.store import shuffle_partitions
 BITS = 64
 RADIUS = 3
 _SLICE = 1 << 18
+_TERMS = 1 << 14
 _LAST = -(1 << 63)
 _END = (1 << 48) - 1
 #: Blocks of bits of the near counts, and the fingerprints of one block value that are compared at once.
@@ -31,18 +32,16 @@ PART = 1024
 _SALTS = 16
 
 
-def _terms(found: T.Words, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct term hashes of texts ``low`` to ``high`` with their weights, and borders."""
-    values, weights, borders = [], [], [0]
-    for a, b in zip(found.first[low:high], found.first[low + 1 : high + 1], strict=True):
-        own = found.hashes[a:b]
-        pairs = T.mix(own[:-1] * np.uint64(3) + own[1:])
-        terms, counts = np.unique(np.concatenate((own, pairs)), return_counts=True)
-        values.append(terms)
-        weights.append(counts)
-        borders.append(borders[-1] + len(terms))
-    counts = np.concatenate(weights)
-    return np.concatenate(values), np.rint(16 * (1 + np.log2(counts))).astype(np.int32), np.array(borders)
+def _votes(own: np.ndarray) -> np.ndarray:
+    """Votes of one text for each bit, given the hashes of its words; terms a block at a time."""
+    pairs = T.mix(own[:-1] * np.uint64(3) + own[1:])
+    terms, counts = np.unique(np.concatenate((own, pairs)), return_counts=True)
+    weights = np.rint(16 * (1 + np.log2(counts))).astype(np.int32)
+    votes = np.full(BITS, -weights.sum(), np.int64)
+    for at in range(0, len(terms), _TERMS):
+        bits = np.unpackbits(terms[at : at + _TERMS].astype(">u8").view(np.uint8)).reshape(-1, BITS)
+        votes += 2 * np.einsum("i,ij->j", weights[at : at + _TERMS], bits)  # summed in place, without a table of weighted bits
+    return votes
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -50,13 +49,10 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     for low, high in T.slices(texts, _SLICE):
         found = T.words(texts.slice(low, high - low))
-        values, weights, borders = _terms(found, 0, high - low)
-        some = np.flatnonzero(np.diff(borders))
-        if len(some):
-            bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            votes = np.where(bits, weights[:, None], -weights[:, None])
-            sums = np.add.reduceat(votes, borders[some], axis=0, dtype=np.int64)
-            out[low + some] = np.packbits(sums > 0, axis=1).view(">u8").ravel()
+        votes = np.zeros((high - low, BITS), np.int64)
+        for i in np.flatnonzero(found.counts).tolist():
+            votes[i] = _votes(found.hashes[found.first[i] : found.first[i + 1]])
+        out[low:high] = np.packbits(votes > 0, axis=1).view(">u8").ravel()
     return out
 
 
